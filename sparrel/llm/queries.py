@@ -2,28 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrel.llm import packing, token_counts, token_shards
 from sparrel.llm.exact_dedup import exact_dedup
 from sparrel.llm.line_dedup import drop_repeated_lines
 
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_table(token_counts.length_histogram(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_repeated_lines(docs, min_docs=10, min_chars=1, keep_first=False)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(_table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1, capacity=4096)
+    return packing.pack(pieces, capacity=4096)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.round_trip(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, end_id=2)
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op9_token_shards": op9_token_shards,
     "op3_line_dedup": op3_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
