@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrel.llm import packing, token_counts, token_shards
+from sparrel.llm import packing, token_counts, token_shards, warc
 from sparrel.llm.exact_dedup import exact_dedup
 from sparrel.llm.line_dedup import drop_repeated_lines
 
@@ -22,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(token_counts.length_histogram(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_repeated_lines(docs, min_docs=10, min_chars=1, keep_first=False)
@@ -43,6 +47,7 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc": op2_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op9_token_shards": op9_token_shards,
     "op3_line_dedup": op3_line_dedup,
@@ -50,6 +55,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
     "op3_line_dedup": r"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         placed AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split),
