@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrel.llm.common import SPACES, broadcast_within, materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
     r"""A line without [\x20\x09-\x0D] at its ends, A-Z lower-cased."""
-    return F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""), UPPER, LOWER)
+    return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
 
 
 def _lines(text: Column) -> Column:
@@ -37,10 +39,9 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return keyed.select("doc", "tie", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, spread: int) -> DataFrame:
+def repeated_lines(lines: DataFrame, min_docs: int, spread: int) -> DataFrame:
     """(h1, h2, first) of keys found in ``min_docs`` documents; ``first`` is the first (doc, tie, pos)."""
-    lines = occurrences(docs, id_col, text_col, min_chars).withColumn("sub", F.pmod(F.xxhash64("doc"), F.lit(spread)))
-    ranged = lines.repartitionByRange("h1", "h2", "sub")
+    ranged = lines.withColumn("sub", F.pmod(F.xxhash64("doc"), F.lit(spread))).repartitionByRange("h1", "h2", "sub")
     run = Window.partitionBy("h1", "h2", "sub").orderBy("doc", "tie", "pos")
     new = (F.row_number().over(run) == 1) | ~F.lag("doc").over(run).eqNullSafe(F.col("doc")) | (F.lag("tie").over(run) != F.col("tie"))
     firsts = ranged.withColumn("new", new).filter("new")
@@ -56,8 +57,9 @@ def keep_bitmaps(
 
     ``keep_first`` keeps the first occurrence of each repeated key; without it all of them go.
     """
-    repeated = repeated_lines(docs, id_col, text_col, min_docs, min_chars, spread)
-    lines = occurrences(docs, id_col, text_col, min_chars)
+    # Texts are split and hashed once: ranges are sampled, dealt and joined from the written hashes.
+    lines = materialize(occurrences(docs, id_col, text_col, min_chars), "lines")
+    repeated = broadcast_within(materialize(repeated_lines(lines, min_docs, spread), "repeated"))
     hit = lines.join(repeated, ["h1", "h2"])
     if keep_first:
         hit = hit.filter(~F.struct("doc", "tie", "pos").eqNullSafe(F.col("first")))
