@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparrel.llm import packing, token_counts, token_shards, warc
 from sparrel.llm.exact_dedup import exact_dedup
 from sparrel.llm.line_dedup import drop_repeated_lines
+from sparrel.llm.near_dedup import near_duplicates
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -45,11 +46,17 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.round_trip(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, end_id=2)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"), k=3, share=(85, 100))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_warc": op2_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op9_token_shards": op9_token_shards,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
