@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrel.llm import packing, token_counts, token_shards, warc
+from sparrel.llm.decontaminate import overlaps
 from sparrel.llm.exact_dedup import exact_dedup
+from sparrel.llm.langid import held_out, identify
 from sparrel.llm.line_dedup import drop_repeated_lines
 from sparrel.llm.near_dedup import near_duplicates
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=4096)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), docs.filter(~held_out()), PIECES)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -58,6 +71,8 @@ QUERIES = {
     "op9_token_shards": op9_token_shards,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
