@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents. ``run`` writes each stage's rows to the shared folder and reads them back for the next.
 Null ids, null and empty texts: language ID drops texts without letters, so later stages see none of
-those; null ids pass every stage but keep only one row per exact copy group. Extra columns ride
-along until packing.
+those; a row with a null id is kept unless a copy has an id; rows that repeat an id and a text stay
+together. Extra columns ride along until packing.
 """
 
 from __future__ import annotations

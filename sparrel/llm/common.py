@@ -58,6 +58,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove the files of a materialized table that nothing reads any more."""
+    for folder in {uri.rsplit("/", 1)[0] for uri in table.inputFiles()}:
+        fs, path = file_system(folder)
+        fs.delete_dir(path)
+
+
 def bytes_of(table: DataFrame) -> int:
     """Size in bytes of the files of a materialized table."""
     total = 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrel.llm import packing, token_counts, token_shards, warc
+from sparrel.llm import packing, suffix_dedup, token_counts, token_shards, warc
 from sparrel.llm.decontaminate import overlaps
 from sparrel.llm.exact_dedup import exact_dedup
 from sparrel.llm.langid import held_out, identify
@@ -51,6 +51,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents"), width=200))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
