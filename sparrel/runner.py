@@ -1,4 +1,8 @@
-"""Suite runner: executes JSON plans and checks their text against expected lines."""
+"""Suite runner: executes JSON plans and checks their text against expected lines.
+
+A suite file is JSON: ``query_configs``, a list of ``execution_name``, ``query`` (a plan),
+``expected_output_file`` (a path, relative to the suite's folder), ``sort_before_check``, ``disabled``.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import json
 import sys
 from collections.abc import Iterable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -52,8 +57,34 @@ def run_suite(catalog: Catalog, cases: Iterable[Case]) -> list[str]:
     return passed
 
 
+def load_suite(path: str) -> list[Case]:
+    """Cases of a suite file with their expected lines."""
+    cases = []
+    for entry in json.loads(Path(path).read_text())["query_configs"]:
+        lines = Path(Path(path).parent, entry["expected_output_file"]).read_text().splitlines()
+        cases.append(Case(entry["execution_name"], json.dumps(entry["query"]), tuple(lines), entry.get("sort_before_check", False), entry.get("disabled", False)))
+    return cases
+
+
+def save_suite(path: str, cases: Iterable[Case]) -> None:
+    """Write a suite file and, beside it, a file of expected lines for each case."""
+    entries = []
+    for case in cases:
+        expected = f"{case.name}.expected"
+        Path(Path(path).parent, expected).write_text("".join(f"{line}\n" for line in case.expected))
+        entries.append({"execution_name": case.name, "query": json.loads(case.plan), "expected_output_file": expected, "sort_before_check": case.sort_before_check, "disabled": case.disabled})
+    Path(path).write_text(json.dumps({"query_configs": entries}, indent=1))
+
+
 def main(argv: list[str]) -> int:
-    """``python -m sparrel.runner PLAN.json FOLDER``: print a plan's rows over a folder of Parquet tables."""
+    """Print a plan's rows, or check a suite, over a folder of Parquet tables.
+
+    ``python -m sparrel.runner PLAN.json FOLDER`` or ``python -m sparrel.runner --suite SUITE.json FOLDER``
+    """
+    if len(argv) == 3 and argv[0] == "--suite":
+        spark = SparkSession.builder.appName("sparrel").getOrCreate()
+        print(*run_suite(Catalog.parquet(spark, argv[2]), load_suite(argv[1])), sep="\n")
+        return 0
     if len(argv) != 2:
         sys.exit(main.__doc__)
     spark = SparkSession.builder.appName("sparrel").getOrCreate()
