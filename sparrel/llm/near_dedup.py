@@ -206,10 +206,10 @@ def _shape(share: tuple[int, int]) -> tuple[int, int]:
     return 48, 1
 
 
-def near_duplicates(docs: DataFrame, k: int, share: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", block: int = 400_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int, share: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", block: int = 400_000, block_docs: int = 1500) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row. ``share``: the least Jaccard similarity as (numerator, denominator).
 
-    ``block``: mean shingles of a block; a task holds two blocks.
+    ``block``, ``block_docs``: the most shingles and documents of a block on average; a task holds two blocks.
     """
     bands, rows = _shape(share)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, k: int, share: tuple[int, int], id_col: str
     clusters = components(stars, "hub", "node")
     weight = classes.groupBy("node").agg(F.max("n").alias("n"))
     members = materialize(clusters.join(weight, "node"), "clusters")
-    totals = members.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    few = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count(F.lit(1)) / block_docs))
+    totals = members.groupBy("component").agg(few.cast("int").alias("blocks"))
     placed = broadcast_within(materialize(members.join(totals, "component").select("node", F.col("component").alias("cluster"), "blocks"), "members"))
     texts = source.join(placed, source.doc_id == placed.node).select("node", "cluster", "blocks", "text")
     sets = texts.mapInArrow(_sets(k), "node long, cluster long, blocks int, s binary")

@@ -64,8 +64,8 @@ def test_shingle_sets(k):
 def test_against_brute_force(spark, seed, k, part, whole):
     rows = corpus(seed) + [(1000, None), (1001, ""), (1002, "one"), (1003, "ONE "), (1004, "x " * 100_000)]
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, node string, n int")
-    for block in (400_000, 500):
-        got = near_dedup.near_duplicates(docs, k, (part, whole), block=block)
+    for block, block_docs in ((400_000, 1500), (500, 1500), (400_000, 3)):
+        got = near_dedup.near_duplicates(docs, k, (part, whole), block=block, block_docs=block_docs)
         assert sorted(map(tuple, got.collect())) == brute_components(rows, k, part, whole)
 
 
