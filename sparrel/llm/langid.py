@@ -32,6 +32,8 @@ UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LONGEST_WORD = 48
 _LONGEST_PIECE = 8
+_BASE = 0x9E3779B97F4A7C15
+_SPREAD = 0xD1342543DE82EF95
 
 
 def vocabulary(path: str) -> list[str]:
@@ -53,28 +55,50 @@ def marked_words(unit: str) -> list[str]:
 
 
 class Lattice:
-    """Piece numbers of all substrings of words, grouped by word length. Number 0 is the floor for unknown characters."""
+    """Piece numbers of all substrings of words, grouped by word length. Number 0 is the floor for unknown characters.
+
+    Pieces lie in an open-addressing table by a 64-bit hash of their characters, looked up for all
+    substrings of one length at once.
+    """
 
     def __init__(self, pieces: list[str]) -> None:
-        self.numbers = {p: n for n, p in enumerate(pieces, 1)}
         self.longest = max(map(len, pieces), default=1)
         self.size = len(pieces) + 1
+        self.bits = max(10, (4 * self.size).bit_length())
+        hashes = [0] * len(pieces)
+        for n, piece in enumerate(pieces):
+            for c in piece:
+                hashes[n] = (hashes[n] * _BASE + ord(c) + 1) & (2**64 - 1)
+        if len({*hashes, 0}) != len(pieces) + 1:
+            raise ValueError("two pieces have one hash")
+        self.keys, self.numbers, self.probes = np.zeros((1 << self.bits) + 64, np.uint64), np.full((1 << self.bits) + 64, -1, np.int32), 1
+        for n, h in enumerate(hashes, 1):
+            at = (h * _SPREAD & (2**64 - 1)) >> (64 - self.bits)
+            probe = next(k for k in range(64) if not self.keys[at + k])
+            self.keys[at + probe], self.numbers[at + probe] = h, n
+            self.probes = max(self.probes, probe + 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes * np.uint64(_SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.where(self.keys[at] == hashes, self.numbers[at], -1)
+        for probe in range(1, self.probes):
+            out = np.where(self.keys[at + probe] == hashes, self.numbers[at + probe], out)
+        return out
 
     def groups(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
         """(places of words, numbers[word, start, length-1]); -1 where no piece fits."""
         by_length = defaultdict(list)
         for n, w in enumerate(words):
             by_length[len(w)].append(n)
-        find = self.numbers.get
         for length, places in by_length.items():
             reach = min(self.longest, length)
+            text = "".join([words[n] for n in places]).encode("utf-32-le")
+            codes = np.frombuffer(text, "<u4").reshape(len(places), length).astype(np.uint64) + np.uint64(1)
             table = np.full((len(places), length, reach), -1, np.int32)
-            for row, n in enumerate(places):
-                w = words[n]
-                for i in range(length):
-                    for j in range(i + 1, min(length, i + reach) + 1):
-                        if (k := find(w[i:j])) is not None:
-                            table[row, i, j - i - 1] = k
+            hashes = np.zeros_like(codes)
+            for n in range(reach):
+                hashes = hashes[:, : length - n] * np.uint64(_BASE) + codes[:, n:]
+                table[:, : length - n, n] = self.find(hashes)
             single = table[:, :, 0]
             single[single < 0] = 0
             yield places, table
@@ -88,7 +112,7 @@ def forward(table: np.ndarray, chances: np.ndarray) -> np.ndarray:
     alpha[:, 0] = 1
     for i in range(length):
         for j in range(i + 1, min(length, i + reach) + 1):
-            alpha[:, j] += alpha[:, i] * padded[table[:, i, j - i - 1]]
+            alpha[:, j] += alpha[:, i] * padded.take(table[:, i, j - i - 1], axis=0, mode="wrap")
     return alpha
 
 
@@ -135,7 +159,7 @@ def fit(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 3, floo
 class Scorer:
     """Log chances of texts per language, with a bounded memory of word results."""
 
-    def __init__(self, pieces: list[str], languages: list[str], chances: np.ndarray, capacity: int = 600_000) -> None:
+    def __init__(self, pieces: list[str], languages: list[str], chances: np.ndarray, capacity: int = 300_000) -> None:
         self.lattice, self.languages, self.chances, self.capacity = Lattice(pieces), languages, chances, capacity
         self._reset()
 
