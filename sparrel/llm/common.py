@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: White space of the text contracts: the class [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _created: list[str] = []
 
 
@@ -52,10 +54,18 @@ def _remove() -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: the lineage ends there, its size is known."""
-    path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a frame to the shared folder and read it back: the lineage ends there, its size is known.
+
+    The write's shuffle files go when it ends, since nothing reads them again.
+    """
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(table: DataFrame) -> None:

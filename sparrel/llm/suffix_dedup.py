@@ -81,15 +81,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def _anchors(width: int):
-    names = ["gram", "context", "doc", "tie", "place", "low", "high"]
+    names = ["gram", "context", "doc", "tie", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ties = batch.column(0), batch.column(1)
             for first, _, data, offsets in chunks(batch.column(2)):
-                text, gram, context, *numbers = anchors(data, offsets, width)
+                text, gram, context, place, low, high = anchors(data, offsets, width)
                 at = pa.array(text + first)
-                columns = [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), ids.take(at), ties.take(at), *[pa.array(x) for x in numbers]]
+                span = pa.array(low << 32 | place - low << 16 | high - low)
+                columns = [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), ids.take(at), ties.take(at), span]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -104,7 +105,9 @@ def _classes(width: int):
             for row in range(batch.num_rows):
                 raw = batch.column("text")[row].as_py().encode()
                 found = batch.column("found").slice(row, 1).flatten().flatten()
-                gram, place, low, high = (x.to_numpy() for x in found)
+                gram, span = (x.to_numpy() for x in found)
+                low = span >> 32
+                place, high = low + (span >> 16 & 0xFFFF), low + (span & 0xFFFF)
                 hashes = Hashes(np.frombuffer(raw, np.uint8))
                 count = -(-(width - GRAM + 1) // STEP)
                 number = np.tile(np.arange(count), len(gram))
@@ -161,8 +164,10 @@ def _repeats(width: int):
         def done() -> list[tuple]:
             if len(rows) < 2:
                 return []
-            found = bucket_repeats([(skip, left, right) for _, _, _, skip, left, right in rows])
-            return [(rows[n][0], rows[n][1], rows[n][2] + a, rows[n][2] + b + width) for n, a, b in found]
+            # rows that repeat an id and a text bring the same members: one of each stands for all
+            own = list(dict.fromkeys(map(tuple, rows)))
+            found = bucket_repeats([(skip, left, right) for _, _, _, skip, left, right in own]) if len(own) > 1 else []
+            return [(own[n][0], own[n][1], own[n][2] + a, own[n][2] + b + width) for n, a, b in found]
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
@@ -191,34 +196,35 @@ def _large_bucket_repeats(nodes: DataFrame, width: int) -> DataFrame:
     left = F.expr("substring(left, k - skip + 1)")
     keyed = strings.select("gram", "class", "core", "k", left.alias("l"), F.expr("substring(right, 1, k)").alias("r"), "doc", "tie", "at")
     key = ["gram", "class", "core", "k", "l", "r"]
-    twice = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    place = F.struct("doc", "tie", "at")
+    twice = keyed.groupBy(*key).agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select(*key)
     return keyed.join(twice, key).select("doc", "tie", (F.col("at") + F.col("k")).alias("start"), (F.col("at") + F.col("k") + width).alias("stop"))
 
 
 def repeated_spans(docs: DataFrame, width: int, bucket: int) -> DataFrame:
     """(doc, tie, start, stop): byte stretches, possibly overlapping, whose union is all that repeats. ``docs`` has doc, tie and text."""
     found = materialize(
-        docs.filter(F.octet_length("text") >= width).mapInArrow(_anchors(width), "gram long, context long, doc long, tie long, place long, low long, high long"), "anchors")
+        docs.filter(F.octet_length("text") >= width).mapInArrow(_anchors(width), "gram long, context long, doc long, tie long, span long"), "anchors")
     twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     some = materialize(found.join(twice, "gram"), "repeated-grams")
     discard(found)
-    contexts = some.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tie", "place", "low", "high")).alias("one"))
+    contexts = some.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tie", "span")).alias("one"))
     contexts = materialize(contexts, "contexts")
-    whole = some.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"]).select("doc", "tie", F.col("low").alias("start"), (F.col("high") + width).alias("stop"))
+    low = F.shiftright("span", 32)
+    whole = some.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"]).select("doc", "tie", low.alias("start"), (low + F.col("span").bitwiseAND(0xFFFF) + width).alias("stop"))
     mixed = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 AND least = 1").select("gram")
-    members = contexts.join(mixed, "gram").select("gram", "one.*").groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "place", "low", "high")).alias("found"))
+    members = contexts.join(mixed, "gram").select("gram", "one.*").groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "span")).alias("found"))
     members = broadcast_within(materialize(members, "members"), 16 << 20)
     matched = docs.join(members.withColumnsRenamed({"doc": "d", "tie": "t"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
     matched = matched.select("doc", "tie", "text", "found")
     kinds = "gram long, class int, core long, doc long, tie long, at long, skip int, left binary, right binary"
-    # Rows that repeat an id and a text have the same members: one of each stands for all.
-    nodes = materialize(matched.mapInArrow(_classes(width), kinds).dropDuplicates(["gram", "class", "core", "doc", "tie", "at"]), "classes")
+    nodes = materialize(matched.mapInArrow(_classes(width), kinds), "classes")
     key = ["gram", "class", "core"]
-    sizes = nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = materialize(sizes, "buckets")
-    small = nodes.join(sizes.filter(F.col("n") <= bucket).select(*key), key)
-    spans = small.select(*key, "doc", "tie", "at", "skip", "left", "right").repartition(*key).sortWithinPartitions(*key).mapInArrow(_repeats(width), "doc long, tie long, start long, stop long")
-    large = _large_bucket_repeats(nodes.join(sizes.filter(F.col("n") > bucket).select(*key), key), width)
+    large = nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select(*key)
+    large = broadcast_within(materialize(large, "large-buckets"))
+    small = nodes.join(large, key, "left_anti").repartition(*key).sortWithinPartitions(*key)
+    spans = small.select(*key, "doc", "tie", "at", "skip", "left", "right").mapInArrow(_repeats(width), "doc long, tie long, start long, stop long")
+    large = _large_bucket_repeats(nodes.join(large, key, "left_semi"), width)
     return whole.unionByName(spans).unionByName(large)
 
 
@@ -246,8 +252,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_repeats(docs: DataFrame, width: int = 200, bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) per row; ``kept`` holds the remaining bytes."""
-    if width < GRAM + STEP:
-        raise ValueError(f"repeats of at least {GRAM + STEP} bytes can be found")
+    if not GRAM + STEP <= width < 1 << 16:
+        raise ValueError(f"repeats of {GRAM + STEP} to {(1 << 16) - 1} bytes can be found")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
     spans = repeated_spans(rows, width, bucket)
