@@ -214,7 +214,7 @@ def repeated_spans(docs: DataFrame, width: int, bucket: int) -> DataFrame:
     whole = some.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"]).select("doc", "tie", low.alias("start"), (low + F.col("span").bitwiseAND(0xFFFF) + width).alias("stop"))
     mixed = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 AND least = 1").select("gram")
     members = contexts.join(mixed, "gram").select("gram", "one.*").groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "span")).alias("found"))
-    members = broadcast_within(materialize(members, "members"), 16 << 20)
+    members = materialize(members, "members")
     matched = docs.join(members.withColumnsRenamed({"doc": "d", "tie": "t"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
     matched = matched.select("doc", "tie", "text", "found")
     kinds = "gram long, class int, core long, doc long, tie long, at long, skip int, left binary, right binary"
@@ -258,7 +258,8 @@ def drop_repeats(docs: DataFrame, width: int = 200, bucket: int = 20_000, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
     spans = repeated_spans(rows, width, bucket)
     merged = materialize(spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    merged = broadcast_within(merged, 16 << 20).withColumnsRenamed({"doc": "d", "tie": "t"})
+    # Members and spans grow with the corpus, so texts are shuffled to them at every size.
+    merged = merged.withColumnsRenamed({"doc": "d", "tie": "t"})
     joined = rows.join(merged, F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left")
     return joined.select("doc", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
