@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +24,8 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _created: list[str] = []
 
+T = TypeVar("T")
+
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI or plain path."""
@@ -91,3 +99,23 @@ def broadcast_within(table: DataFrame, limit: int = 32 << 20) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_resource: list = []
+
+
+def worker_resource(key: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks: one resource at a time, so those of earlier stages go."""
+    if not _resource or _resource[0] != key:
+        _resource.clear()
+        _give_back()
+        _resource[:] = key, make()
+    return _resource[1]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

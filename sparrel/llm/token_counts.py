@@ -25,9 +25,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
     """(length, n_docs) over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
         for batch in batches:
-            lengths, n = np.unique([len(encode.raw(t.as_py())) // 4 for t in batch.column(0)], return_counts=True)
+            lengths, n = np.unique(encoder(tokenizer).lengths(batch.column(0)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64()), pa.array(n, pa.int64())], ["length", "n"])
 
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "length long, n long")

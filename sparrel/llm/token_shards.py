@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrel.llm.common import file_system, materialize, partitions, scratch_folder
+from sparrel.llm.common import file_system, materialize, scratch_folder
 from sparrel.llm.tokens import encoder
 
 MAGIC = b"PFORTOK1"
@@ -184,31 +184,36 @@ class ShardReader:
             n = stop
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20) -> DataFrame:
     """Write all documents, one shard per range of ids; returns the manifest (shard, path, n_docs, n_ids, first).
 
-    ``first`` counts the ids in all earlier shards. Files of lost or repeated task attempts are in no manifest.
-    Null ids come first; rows that repeat an id stay side by side; a null text has no ids but the end id.
+    ``first`` counts the ids in all earlier shards. ``shard_bytes``: mean bytes of text and row of a shard, at any
+    size of the table. Files of lost or repeated task attempts are in no manifest. Null ids come first; rows that
+    repeat an id lie side by side, over several shards if they are many; a null text has no ids but the end id;
+    an empty table has an empty manifest.
     """
     tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, path = encoder(tokenizer), None, ""
+        writer, path = None, ""
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1)), strict=True):
                 if writer is None:
                     fs, base = file_system(folder)
                     fs.create_dir(base, recursive=True)
                     path = f"{base}/{uuid.uuid4().hex}.tok"
                     writer = ShardWriter(fs.open_output_stream(path, buffer_size=1 << 20))
-                writer.add(doc_id, np.concatenate([encode.ids(text.as_py()), tail]))
+                writer.add(doc_id, np.concatenate([ids, tail]))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [path.rsplit("/", 1)[1]], "n_docs": [len(writer.docs)], "n_ids": [writer.total]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    manifest = materialize(ranged.mapInArrow(write, "shard int, name string, n_docs long, n_ids long"), "manifest")
+    size = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    shards = max(1, -(-size // shard_bytes))
+    # The row's place parts the rows of one id, however many there are.
+    ranged = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(shards, "doc_id", "at").sortWithinPartitions("doc_id", "at")
+    manifest = materialize(ranged.select("doc_id", "text").mapInArrow(write, "shard int, name string, n_docs long, n_ids long"), "manifest")
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.select("shard", F.concat(F.lit(f"{folder}/"), "name").alias("path"), "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("first"))
 
@@ -228,7 +233,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 columns = [pa.array(shard.doc_ids, mask=shard.nulls), pa.array(shard.places + first), pa.array(shard.sizes), pa.array(crcs)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("path", "first").repartition(F.col("path"))
+    # A given number of partitions: adaptive execution would put the few rows of a manifest in one task.
+    files = manifest.select("path", "first").repartition(max(1, manifest.count()))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
