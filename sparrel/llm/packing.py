@@ -3,8 +3,8 @@
 Documents are tokenized once into pieces of at most ``capacity`` tokens. Pieces are dealt evenly to
 tasks; each packs its own by best fit, longest first, and certifies the bin count with lower bounds
 from dual-feasible functions. Where a bound is not met, the task's pieces, and the pieces of poorly
-filled sequences elsewhere, are dealt anew and packed again; a round counts only if it saves
-sequences.
+filled sequences elsewhere, are dealt anew and packed again, as long as a round saves sequences. The
+bin counts and bounds are part of the result.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are packed as often as they
 occur; null ids stay null; an empty table gives an empty result; other columns are not read.
@@ -33,11 +33,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     tail = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = encode.raw(text.as_py()) + tail
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1)), strict=True):
+                raw = ids.tobytes() + tail
                 for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -120,8 +119,13 @@ def _pack_task(capacity: int):
     return pack
 
 
-def pack(items: DataFrame, capacity: int, per_task: int = 50_000, rounds: int = 2) -> DataFrame:
-    """Add sequence_id and offset to rows with a ``length`` of 1 to ``capacity``. ``per_task``: mean pieces a task packs."""
+def pack(items: DataFrame, capacity: int, per_task: int = 50_000) -> DataFrame:
+    """Add sequence_id and offset to rows with a ``length`` of 1 to ``capacity``, and the certificate: part, bins, bound.
+
+    ``per_task``: mean pieces a task packs. Rounds go on until one saves no sequence. Each part, the pieces that one
+    task packed in one round, has ``bins`` sequences where any packing of the part needs at least ``bound``; after a
+    later round took the poorly filled sequences out, ``bins`` and ``bound`` still are those of the whole part.
+    """
     numbered = materialize(items.withColumn("row", F.monotonically_increasing_id()), "pieces")
     n = numbered.count()
 
@@ -129,14 +133,15 @@ def pack(items: DataFrame, capacity: int, per_task: int = 50_000, rounds: int =
         dealt = rows.withColumn("_deal", F.xxhash64(F.lit(salt), "row")).repartition(max(1, -(-size // per_task)), "_deal").drop("_deal")
         return materialize(dealt.mapInArrow(_pack_task(capacity), _PACKED), name)
 
-    done, open_rows = [], packed(numbered, n, 0, "packed")
+    done, open_rows, turn = [], packed(numbered, n, 0, "packed"), 0
     columns = numbered.columns
-    for turn in range(1, rounds + 1):
+    while True:
         again = (F.col("bins") > F.col("bound")) | (F.col("fill") <= capacity // 2)
         bins = F.count_distinct("task", "bin")
         count, old = open_rows.filter(again).agg(F.count(F.lit(1)), bins).first()
         if old < 2:
             break
+        turn += 1
         retry = packed(open_rows.filter(again).select(*columns), count, turn, "repacked")
         if retry.agg(bins).first()[0] >= old:
             break
@@ -145,7 +150,7 @@ def pack(items: DataFrame, capacity: int, per_task: int = 50_000, rounds: int =
     done.append((len(done), open_rows))
     result = None
     for turn, rows in done:
-        sequence = F.lit(turn).cast("long") * (1 << 52) + F.col("task").cast("long") * (1 << 31) + F.col("bin")
-        part = rows.select(*[c for c in columns if c != "row"], sequence.alias("sequence_id"), "offset")
-        result = part if result is None else result.unionByName(part)
+        part = F.lit(turn).cast("long") * (1 << 52) + F.col("task").cast("long") * (1 << 31)
+        chosen = rows.select(*[c for c in columns if c != "row"], (part + F.col("bin")).alias("sequence_id"), "offset", part.alias("part"), "bins", "bound")
+        result = chosen if result is None else result.unionByName(chosen)
     return result

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,7 @@ from sparrel.llm.token_counts import context_table, length_histogram, quantile,
 from sparrel.llm.tokens import Encoder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-PAIRS = [(Encoder(p, capacity=50), Tokenizer.from_file(p)) for p in (BYTE, WORD)]
+PAIRS = [(Encoder(p, capacity=3000, chunk=64), Tokenizer.from_file(p)) for p in (BYTE, WORD)]
 TEXTS = [
     "", " ", "a", " a  b\n\n c\t", "It's we'LL they'Re 'S x's", "Éèß ŉ İ ſ naïve façade Ως ΑΣ ΑΣ. x", "a <|endoftext|> b<|endoftext|>", "1234 5.6e7 ²³ ½ _a_ __",
     " x  y　z \x1c q \x85 w", "日本語 text — “quoted” …", "é café ́", "😀 a😀b  😀", "tab\there \n new", "a\r\nb \r\n c", "x" * 500,
@@ -136,6 +137,9 @@ def test_packing(spark):
         assert at <= 64
     assert len(rows) == packing.pieces(docs, WORD, 1, 64).count()
     assert len(bins) <= 1.08 * sum(r.length for r in rows) / 64
+    parts = {r.part: (r.bins, r.bound) for r in rows}
+    assert all(0 < bound <= count for count, bound in parts.values())
+    assert sum(count for count, _ in parts.values()) >= len(bins) >= max(bound for _, bound in parts.values())
     ids = [*full.encode("word " * 3000, add_special_tokens=False).ids, 1]
     assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == 7) == [
         (n, n * 64, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for n, p in enumerate(ids[k : k + 64] for k in range(0, len(ids), 64))]
