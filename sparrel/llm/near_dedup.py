@@ -2,30 +2,35 @@
 
 A document's shingle hashes are cut into equal ranges; the smallest hash of each range is its
 signature, and empty ranges copy a range chosen by a fixed sequence of hashes (optimal
-densification). Bands of the signature make buckets. A bucket of n documents adds n-1 edges, from
-its smallest document to the others. What these stars connect is a cluster: it holds every pair that
-shares a bucket. Clusters are cut into blocks of bounded size, pairs of blocks meet in a task with
-their full shingle sets, and exact intersection counts decide the links, of which a spanning forest
-leaves the task. Documents with equal sets are one node throughout.
+densification). Bands of the signature make buckets. Documents with equal words (by a 128-bit
+cryptographic digest) are one node throughout.
+
+1. A bucket of n nodes adds the n-1 edges of a star, from its smallest node to the others. Each edge
+   is settled by the shingles themselves, in groups of bounded size around the star's centre.
+2. Links make components. What stars miss are pairs around a bucket's centre that are still in
+   different components: buckets that hold such pairs, and only they, are compared exactly, in
+   clusters cut into blocks of bounded size, through the shingles that documents share.
+
+Hashes choose candidates and count; before a link counts, the common shingles are compared as words.
 
 Defined cases: a text without words has no shingles and is linked with nothing; rows that repeat an
-id go by their own texts; a null id is linked with nothing and its component is null; an empty table gives an
-empty result; other columns are not read.
+id go by their own texts; a null id is linked with nothing and its component is null; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrel.llm.common import broadcast_within, materialize
 from sparrel.llm.components import components
-from sparrel.llm.shingles import mix, shingle_sets
+from sparrel.llm.shingles import Shingles, mix, shingled
 
 
 def signature(sets: list[np.ndarray], bins: int) -> np.ndarray:
@@ -50,48 +55,58 @@ def signature(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return (mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(48)).astype(np.uint16)
 
 
-def _sign(k: int, bins: int):
+def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One row of bucket keys per signature."""
+    weights = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
+    salt = mix(np.arange(1000, 1000 + bands, dtype=np.uint64))
+    cut = signatures.astype(np.uint64).reshape(len(signatures), bands, rows)
+    return mix((mix(cut) * weights).sum(axis=2, dtype=np.uint64) + salt).view(np.int64)
+
+
+def _sign(k: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0), []
-            sets: list[np.ndarray] = []
+            held: list[Shingles] = []
+            first = 0
 
             def flush() -> pa.RecordBatch:
-                some = [s for s in sets if len(s)]
-                signs = iter(signature(some, bins)) if some else iter(())
-                rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(signs).tobytes() if len(s) else None) for s in sets]
-                n, digest, sig = zip(*rows, strict=True)
-                first = out[-1] if out else 0
-                out.append(first + len(sets))
-                return pa.RecordBatch.from_arrays([ids[first : first + len(sets)], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "digest", "sig"])
-
-            for s in shingle_sets(batch.column(1), k):
-                sets.append(s)
-                if len(sets) == 512:
+                some = [s.hashes for s in held if len(s.hashes)]
+                keys = band_keys(signature(some, bands * rows), bands, rows) if some else np.empty((0, bands), np.int64)
+                sizes = [len(s.hashes) for s in held]
+                digests = [hashlib.blake2b(s.words, digest_size=16).digest() for s in held]
+                ends = np.concatenate([[0], np.cumsum(np.array(sizes) > 0) * bands]).astype(np.int32)
+                part = batch.slice(first, len(held))
+                columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))]
+                return pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "n", "digest", "keys"])
+
+            for s in shingled(batch.column(2), k):
+                held.append(s)
+                if len(held) == 512:
                     yield flush()
-                    sets = []
-            if sets:
+                    first, held = first + len(held), []
+            if held:
                 yield flush()
 
     return sign
 
 
-def _bands(bands: int, rows: int):
-    weights = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
-    salt = mix(np.arange(1000, 1000 + bands, dtype=np.uint64))
+def similar(x: Shingles, y: Shingles, share: tuple[int, int]) -> bool:
+    """Whether two sets reach the similarity, by hashes first and then by words."""
+    part, whole = share
+    a, b = len(x.hashes), len(y.hashes)
+    if min(a, b) * whole < part * max(a, b):
+        return False
+    both = len(np.intersect1d(x.hashes, y.hashes, assume_unique=True))
+    return whole * both >= part * (a + b - both) and _confirmed(x, y, share)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b for b in batches if b.num_rows):
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
-                sig = np.stack([np.frombuffer(s.as_py(), np.uint16) for s in part.column(1)]).astype(np.uint64)
-                keys = mix((mix(sig.reshape(len(sig), bands, rows)) * weights).sum(axis=2, dtype=np.uint64) + salt)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), bands))], ["key", "node"])
 
-    return cut
+def _confirmed(x: Shingles, y: Shingles, share: tuple[int, int]) -> bool:
+    part, whole = share
+    both = x.agree(y)
+    return whole * both >= part * (len(x.hashes) + len(y.hashes) - both)
 
 
-def spanning_links(nodes: list[int], sets: list[np.ndarray], side: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
+def spanning_links(nodes: list[int], sets: list[Shingles], side: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
     """A spanning forest of the links among documents; with two sides (0, 1) only pairs across them are compared."""
     parent = list(range(len(nodes)))
 
@@ -102,25 +117,10 @@ def spanning_links(nodes: list[int], sets: list[np.ndarray], side: np.ndarray, s
         return x
 
     links = []
-
-    def link(x: int, y: int) -> None:
-        a, b = root(x), root(y)
-        if a != b:
-            parent[a] = b
-            links.append((nodes[x], nodes[y]))
-
     part, whole = share
-    sizes = np.array([len(s) for s in sets], np.int64)
+    sizes = np.array([len(s.hashes) for s in sets], np.int64)
     crossed = side.any()
-    if len(nodes) <= 6:
-        for x in range(len(nodes)):
-            for y in range(x + 1, len(nodes)):
-                if (not crossed or side[x] != side[y]) and min(sizes[x], sizes[y]) * whole >= part * max(sizes[x], sizes[y]):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if whole * both >= part * (sizes[x] + sizes[y] - both):
-                        link(x, y)
-        return links
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    flat, owner = np.concatenate([s.hashes for s in sets]), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     new = np.append(True, flat[1:] != flat[:-1])
@@ -148,52 +148,67 @@ def spanning_links(nodes: list[int], sets: list[np.ndarray], side: np.ndarray, s
         both += x @ y.T
     counts = both.astype(np.int64)
     hit = whole * counts >= part * (sizes[left][:, None] + sizes[right][None, :] - counts)
-    for x, y in zip(*np.nonzero(hit), strict=True):
-        if left[x] != right[y]:
-            link(int(left[x]), int(right[y]))
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        x, y = int(left[i]), int(right[j])
+        if root(x) != root(y) and _confirmed(sets[x], sets[y], share):
+            parent[root(x)] = root(y)
+            links.append((nodes[x], nodes[y]))
     return links
 
 
-def _link(share: tuple[int, int]):
-    def solve(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j = key
-        side = np.array([0 if block == i else 1 for _, block, _ in rows]) if i != j else np.zeros(len(rows), int)
-        return spanning_links([n for n, _, _ in rows], [np.frombuffer(s, np.uint64) for _, _, s in rows], side, share)
+def _groups(solve: Callable[[tuple, list[tuple[int, int, Shingles]]], Iterator[tuple[int, int]]], k: int):
+    """Rows sorted by three key columns, then (node, block, text): each group's links. A node that comes again in a group is read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows, seen = None, [], set()
 
         def done() -> pa.RecordBatch:
-            found = solve(key, rows) if len(rows) > 1 else []
+            found = list(solve(key, rows)) if len(rows) > 1 else []
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in range(6)]
-            for cluster, i, j, node, block, s in zip(*columns, strict=True):
-                if (cluster, i, j) != key:
+            columns = [batch.column(n).to_pylist() for n in range(5)]
+            for x, y, z, node, block, s in zip(*columns, shingled(batch.column(5), k), strict=True):
+                if (x, y, z) != key:
                     if key is not None:
                         yield done()
-                    key, rows = (cluster, i, j), []
-                rows.append((node, block, s))
+                    key, rows, seen = (x, y, z), [], set()
+                if node not in seen:
+                    seen.add(node)
+                    rows.append((node, block, s))
         if key is not None:
             yield done()
 
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, first = [], 0
-            for n, s in enumerate(shingle_sets(batch.column("text"), k)):
-                sets.append(s.tobytes())
-                if len(sets) == 512 or n == batch.num_rows - 1:
-                    part = batch.slice(first, len(sets))
-                    yield pa.RecordBatch.from_arrays([part.column("node"), part.column("cluster"), part.column("blocks"), pa.array(sets, pa.binary())], ["node", "cluster", "blocks", "s"])
-                    first, sets = n + 1, []
+def _star_links(share: tuple[int, int]):
+    def solve(key: tuple, rows: list[tuple[int, int, Shingles]]) -> Iterator[tuple[int, int]]:
+        centre = next(s for node, _, s in rows if node == key[0])
+        return ((key[0], node) for node, _, s in rows if node != key[0] and similar(centre, s, share))
 
-    return run
+    return solve
+
+
+def _block_links(share: tuple[int, int]):
+    def solve(key: tuple, rows: list[tuple[int, int, Shingles]]) -> list[tuple[int, int]]:
+        _, i, j = key
+        side = np.array([0 if block == i else 1 for _, block, _ in rows]) if i != j else np.zeros(len(rows), int)
+        return spanning_links([n for n, _, _ in rows], [s for _, _, s in rows], side, share)
+
+    return solve
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that repeat (first four columns) leave a task once."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keep = []
+        for row in zip(*[batch.column(n).to_pylist() for n in range(4)], strict=True):
+            keep.append(row not in seen)
+            seen.add(row)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def _shape(share: tuple[int, int]) -> tuple[int, int]:
@@ -206,37 +221,68 @@ def _shape(share: tuple[int, int]) -> tuple[int, int]:
     return 48, 1
 
 
+def text_tie(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, k: int, share: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", block: int = 400_000, block_docs: int = 1500) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row. ``share``: the least Jaccard similarity as (numerator, denominator).
+    """(doc_id, tie, n_shingles, component_id) per row; ``tie`` is that of the row's text. ``share``: the least Jaccard similarity as (numerator, denominator).
 
-    ``block``, ``block_docs``: the most shingles and documents of a block on average; a task holds two blocks.
+    ``block``, ``block_docs``: the most shingles and documents of a block, or around a star's centre, on average;
+    a task holds two blocks.
     """
     bands, rows = _shape(share)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(source.mapInArrow(_sign(k, bands * rows), "doc_id long, n long, digest binary, sig binary"), "signatures")
+    part, whole = share
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_tie(F.col(text_col)).alias("tie"), F.col(text_col).cast("string").alias("text"))
+    signed = materialize(source.mapInArrow(_sign(k, bands, rows), "doc_id long, tie long, n long, digest binary, keys array<long>"), "signatures")
     usable = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
-    keys = materialize(classes.select("node", "sig").mapInArrow(_bands(bands, rows), "key long, node long"), "bands")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
-    stars = keys.join(hubs, "key").select("hub", "node").filter("hub <> node").distinct()
-    clusters = components(stars, "hub", "node")
-    weight = classes.groupBy("node").agg(F.max("n").alias("n"))
-    members = materialize(clusters.join(weight, "node"), "clusters")
-    few = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count(F.lit(1)) / block_docs))
-    totals = members.groupBy("component").agg(few.cast("int").alias("blocks"))
-    placed = broadcast_within(materialize(members.join(totals, "component").select("node", F.col("component").alias("cluster"), "blocks"), "members"))
-    texts = source.join(placed, source.doc_id == placed.node).select("node", "cluster", "blocks", "text")
-    sets = texts.mapInArrow(_sets(k), "node long, cluster long, blocks int, s binary")
-    own = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = own.withColumn("other", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "s")
-    sorted_rows = met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = sorted_rows.mapInArrow(_link(share), "a long, b long")
+    folded = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("at"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(folded.select(F.monotonically_increasing_id().alias("node"), "digest", "at.doc_id", "at.tie", "n", "keys", "copies"), "classes")
+
+    def linked_by(wanted: DataFrame, solve) -> DataFrame:
+        """Links within groups of ``wanted`` (x, y, z, node, block); texts go to the groups that need them, once a task."""
+        wanted = materialize(wanted, "wanted")
+        placed = broadcast_within(materialize(wanted.join(classes.select("node", "doc_id", "tie"), "node"), "placed"))
+        columns = ["x", "y", "z", "node", "block", "text"]
+        met = source.join(placed, ["doc_id", "tie"]).select(*columns).mapInArrow(_once, "x long, y int, z int, node long, block int, text string")
+        grouped = met.repartition("x", "y", "z").sortWithinPartitions("x", "y", "z")
+        return materialize(grouped.mapInArrow(_groups(solve, k), "a long, b long"), "links")
+
+    buckets = classes.select("node", "n", F.explode("keys").alias("key"))
+    hubs = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).filter("hub.node <> last").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    hubs = broadcast_within(materialize(hubs, "hubs"))
+    entries = materialize(buckets.join(hubs, "key").filter("node <> hub").select("key", "hub", "hub_n", "node", "n"), "stars")
+    large_enough = F.least("n", "hub_n") * whole >= F.greatest("n", "hub_n") * part
+    edges = materialize(entries.filter(large_enough).groupBy("hub", "node").agg(F.max("n").alias("n")), "star-edges")
+    few = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count(F.lit(1)) / block_docs)).cast("int")
+    sizes = broadcast_within(materialize(edges.groupBy("hub").agg(few.alias("groups")), "star-sizes"))
+    dealt = edges.join(sizes, "hub").select(F.col("hub").alias("x"), F.pmod(F.xxhash64("node"), "groups").cast("int").alias("y"), "node")
+    centres = sizes.select(F.col("hub").alias("x"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("y"), F.col("hub").alias("node"))
+    zero = F.lit(0)
+    links = linked_by(dealt.unionByName(centres).select("x", "y", zero.alias("z"), "node", zero.alias("block")), _star_links(share))
     linked = broadcast_within(materialize(components(links), "linked"))
-    merged = classes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("own"), "copies", "node")
-    # Only documents that share their set or are linked need the lookup by digest.
-    lookup = broadcast_within(materialize(merged.filter("copies > 1 OR own <> node").select("digest", "own"), "lookup"))
-    found = signed.join(lookup, "digest", "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("own", "doc_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
+    # Around a centre all is settled if the others are in one component.
+    here = F.coalesce("component", "node")
+    open_keys = entries.join(linked, "node", "left").groupBy("key").agg(F.min(here).alias("low"), F.max(here).alias("high"), F.min("node").alias("a")).filter("low <> high").select("key", "a")
+    open_keys = broadcast_within(materialize(open_keys, "open-buckets"))
+    rest = materialize(entries.join(open_keys, "key").select("a", "node").distinct(), "rest")
+    if not rest.isEmpty():
+        clusters = components(rest, "a", "node")
+        members = materialize(clusters.join(classes.select("node", "n"), "node"), "clusters")
+        blocks = broadcast_within(materialize(members.groupBy("component").agg(few.alias("blocks")), "blocks"))
+        own = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        wanted = paired.select(F.col("component").alias("x"), F.least("block", "other").alias("y"), F.greatest("block", "other").alias("z"), "node", "block")
+        more = linked_by(wanted, _block_links(share))
+        linked = broadcast_within(materialize(components(links.unionByName(more)), "linked"))
+
+    # Only documents that share their words or are linked need the lookup by digest.
+    named = classes.join(linked, "node", "left").filter("copies > 1 OR component IS NOT NULL").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
+    named = materialize(named, "named")
+    least = broadcast_within(materialize(named.groupBy("component").agg(F.min("doc_id").alias("own")), "least"))
+    lookup = broadcast_within(materialize(named.join(least, "component").select("digest", "own"), "lookup"))
+    found = signed.select("doc_id", "tie", "n", "digest").join(lookup, "digest", "left")
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("own", "doc_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "tie", F.col("n").alias("n_shingles"), component.alias("component_id"))

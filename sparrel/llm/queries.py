@@ -65,7 +65,7 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), k=3, share=(85, 100))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.drop("tie").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 QUERIES = {
