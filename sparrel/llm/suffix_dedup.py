@@ -5,15 +5,18 @@ suffixes of a corpus in one place is out of reach, so strings first meet in buck
 
 1. The anchor of a string is the place in it whose short gram hashes lowest. Equal strings have equal
    anchors, and the strings of one anchor start in one run; an anchor's context is what they cover.
-2. Anchors whose gram occurs once are done. Anchors with equal contexts repeat each other as a whole.
-3. One anchor of each remaining context is cut into classes of ``STEP`` neighbouring starts. All
-   strings of a class share a core; classes meet by core, where a member is its few bytes left of the
-   core, one symbol for the core, and its few bytes right of it. Two strings are equal exactly if
-   the suffixes there share ``STEP`` symbols, so each bucket is suffix-sorted (see suffix_sort) and
-   neighbours with a common prefix that long are repeats.
-
-Buckets of more than ``bucket`` members compare their strings as rows instead, folded before the
-shuffle, so no task holds an unbounded group.
+2. Anchors whose gram occurs once are done. Contexts equal as a whole, by a 128-bit cryptographic
+   digest of their bytes, stand for each other: one of them goes on.
+3. Contexts are cut into classes of ``STEP`` neighbouring starts. All strings of a class share a core.
+   Classes whose core, by such a digest, is found twice make buckets: a member is its few bytes left of
+   the core, one symbol for the core, and its few bytes right of it. Each bucket is suffix-sorted (see
+   suffix_sort), and neighbours whose common prefix covers ``STEP`` symbols are the repeats: the order
+   of suffixes decides every repeat between contexts that differ.
+
+A bucket of more than ``bucket`` members is split: its members become single strings, those that are
+equal fold to two before the shuffle, the strings are dealt to as many buckets as the bound needs and
+suffix-sorted there, and what is found holds for all that were folded. So no task holds an unbounded
+group. Long texts are read a stretch at a time.
 
 Defined cases: a null text is empty; texts shorter than ``width`` keep all bytes; rows that repeat an
 id and a text repeat each other; null ids are ordinary ids; an empty table gives an empty result;
@@ -22,6 +25,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,36 +34,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrel.llm.common import broadcast_within, discard, materialize
-from sparrel.llm.shingles import _ORDER, _VALUES, _power_tables, chunks, mix
+from sparrel.llm.shingles import _ORDER, chunks, mix
 from sparrel.llm.suffix_sort import common_prefixes, suffix_array
 
 GRAM = 32
 STEP = 13
 _CORE = 256
+_STRETCH = 1 << 22
 
 
-class Hashes:
-    """Hashes of any stretch of a run of bytes, from prefix sums."""
+def _digests(raw: bytes, starts: list[int], stops: list[int]) -> pa.Array:
+    new = hashlib.blake2b
+    return pa.array([new(raw[a:b], digest_size=16).digest() for a, b in zip(starts, stops, strict=True)], pa.binary())
 
-    def __init__(self, data: np.ndarray) -> None:
-        power, self.inverse = _power_tables(len(data) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * power[: len(data)])])
 
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64) * _ORDER[62])
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on. Equal hashes of other grams only make buckets larger."""
+    n = len(data) - GRAM + 1
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data).data, strides=(1,))
+    total = np.zeros(n, np.uint64)
+    for k in range(GRAM // 8):
+        total += eight[8 * k : 8 * k + n] * _ORDER[k]
+    return mix(total)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(text, gram, context, place, low, high) of each anchor; places count from the text's start, low to high are its strings' starts."""
+    """(text, gram, place, low, high) of each anchor; places count from the first byte, low to high are its strings' starts."""
     n, empty = len(data), np.empty(0, np.int64)
     sizes = np.diff(offsets)
     if n < width or not (sizes >= width).any():
-        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
-    hashes = Hashes(data)
-    places = np.arange(n - GRAM + 1)
-    grams = hashes.of(places, places + GRAM)
+        return empty, empty.view(np.uint64), empty, empty, empty
+    grams = _grams(data)
     bits = np.uint64(int(n).bit_length())
-    least = (grams >> bits << bits) | places.astype(np.uint64)
+    least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     reach = width - GRAM + 1
     step = 1
     while 2 * step <= reach:
@@ -75,55 +82,56 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     edge = np.nonzero(np.append(True, (own[1:] != own[:-1]) | (text[1:] != text[:-1])))[0]
     low, high = valid[edge], valid[np.append(edge[1:], len(valid)) - 1]
     place, text = own[edge], text[edge]
-    context = mix(hashes.of(low, high + width) + (place - low).astype(np.uint64) * _ORDER[61])
-    base = offsets[text]
-    return text, grams[place], context, place - base, low - base, high - base
+    return text, grams[place], place, low, high
 
 
-def _anchors(width: int):
+def _anchors(width: int, stretch: int = _STRETCH):
     names = ["gram", "context", "doc", "tie", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ties = batch.column(0), batch.column(1)
             for first, _, data, offsets in chunks(batch.column(2)):
-                text, gram, context, place, low, high = anchors(data, offsets, width)
-                at = pa.array(text + first)
-                span = pa.array(low << 32 | place - low << 16 | high - low)
-                columns = [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), ids.take(at), ties.take(at), span]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                # A run of starts that a stretch's end cuts makes two anchors of one gram; their classes still meet all others.
+                for at in range(0, max(1, len(data) - width + 1), stretch) if len(offsets) == 2 else (0,):
+                    part = data[at : at + stretch + width - 1] if len(offsets) == 2 else data
+                    text, gram, place, low, high = anchors(part, np.array([0, len(part)]) if len(offsets) == 2 else offsets, width)
+                    context = _digests(part.tobytes(), low.tolist(), (high + width).tolist())
+                    base = (offsets[text] if len(offsets) > 2 else 0) - at
+                    span = pa.array(low - base << 32 | place - low << 16 | high - low)
+                    rows = pa.array(text + first)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), context, ids.take(rows), ties.take(rows), span], names)
 
     return run
 
 
 def _classes(width: int):
     """Members (text and its anchors) to class rows."""
-    names = ["gram", "class", "core", "doc", "tie", "at", "skip", "left", "right"]
+    names = ["class", "core", "doc", "tie", "at", "skip", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 raw = batch.column("text")[row].as_py().encode()
-                found = batch.column("found").slice(row, 1).flatten().flatten()
-                gram, span = (x.to_numpy() for x in found)
-                low = span >> 32
-                place, high = low + (span >> 16 & 0xFFFF), low + (span & 0xFFFF)
-                hashes = Hashes(np.frombuffer(raw, np.uint8))
-                count = -(-(width - GRAM + 1) // STEP)
-                number = np.tile(np.arange(count), len(gram))
-                gram, place, low, high = (np.repeat(x, count) for x in (gram, place, low, high))
-                at = place - number * STEP - (STEP - 1)  # the class's first start; its last is at + STEP - 1
-                skip, last = np.maximum(0, low - at), np.minimum(STEP - 1, high - at)
-                keep = np.nonzero(skip <= last)[0]
-                gram, number, at, skip, last = (x[keep] for x in (gram, number, at, skip, last))
-                core, stop = at + STEP - 1, at + width
-                lefts = [raw[a:b] for a, b in zip((at + skip).tolist(), core.tolist(), strict=True)]
-                rights = [raw[a:b] for a, b in zip(stop.tolist(), (stop + last).tolist(), strict=True)]
-                n = len(keep)
-                one = pa.array(np.zeros(n, np.int64) + row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(number.astype(np.int32)), pa.array(hashes.of(core, stop).view(np.int64)), batch.column("doc").take(one), batch.column("tie").take(one),
-                     pa.array(at), pa.array(skip.astype(np.int32)), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names)
+                spans = batch.column("spans").slice(row, 1).flatten().to_numpy()
+                for part in range(0, len(spans), 20_000):
+                    span = spans[part : part + 20_000]
+                    low = span >> 32
+                    place, high = low + (span >> 16 & 0xFFFF), low + (span & 0xFFFF)
+                    count = -(-(width - GRAM + 1) // STEP)
+                    number = np.tile(np.arange(count), len(span))
+                    place, low, high = (np.repeat(x, count) for x in (place, low, high))
+                    at = place - number * STEP - (STEP - 1)  # the class's first start; its last is at + STEP - 1
+                    skip, last = np.maximum(0, low - at), np.minimum(STEP - 1, high - at)
+                    keep = np.nonzero(skip <= last)[0]
+                    number, at, skip, last = (x[keep] for x in (number, at, skip, last))
+                    core, stop = (at + STEP - 1).tolist(), (at + width).tolist()
+                    lefts = [raw[a:b] for a, b in zip((at + skip).tolist(), core, strict=True)]
+                    rights = [raw[a:b] for a, b in zip(stop, (at + width + last).tolist(), strict=True)]
+                    one = pa.array(np.zeros(len(keep), np.int64) + row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(number.astype(np.int32)), _digests(raw, core, stop), batch.column("doc").take(one), batch.column("tie").take(one),
+                         pa.array(at), pa.array(skip.astype(np.int32)), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names)
 
     return run
 
@@ -142,12 +150,14 @@ def bucket_repeats(members: list[tuple[int, bytes, bytes]]) -> list[tuple[int, i
         text.append(_CORE + 1 + n)  # a separator of its own
     order = suffix_array(text)
     shared = common_prefixes(text, order)
-    found: set[tuple[int, int]] = set()
+    repeats = [False] * len(text)
     for r, n in enumerate(shared):
         if n >= STEP:
-            found.update((places[order[r]], places[order[r - 1]]))
+            repeats[order[r]] = repeats[order[r - 1]] = True
     out: list[tuple[int, int, int]] = []
-    for n, k in sorted(found):
+    for (n, k), again in zip(places, repeats, strict=True):
+        if not again or n < 0:
+            continue
         if out and out[-1][0] == n and out[-1][2] == k - 1:
             out[-1] = (n, out[-1][1], k)
         else:
@@ -155,77 +165,94 @@ def bucket_repeats(members: list[tuple[int, bytes, bytes]]) -> list[tuple[int, i
     return out
 
 
-def _repeats(width: int):
-    names = ["doc", "tie", "start", "stop"]
+def _sorted_buckets(keys: int):
+    """Rows sorted by the first ``keys`` columns, then (doc, tie, at, skip, left, right): what repeats in each bucket, as (doc, tie, at, first, last)."""
+    names = ["doc", "tie", "at", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows, out = None, [], []
 
-        def done() -> list[tuple]:
-            if len(rows) < 2:
-                return []
+        def done() -> None:
             # rows that repeat an id and a text bring the same members: one of each stands for all
-            own = list(dict.fromkeys(map(tuple, rows)))
-            found = bucket_repeats([(skip, left, right) for _, _, _, skip, left, right in own]) if len(own) > 1 else []
-            return [(own[n][0], own[n][1], own[n][2] + a, own[n][2] + b + width) for n, a, b in found]
+            own = list(dict.fromkeys(rows))
+            if len(own) > 1:
+                out.extend((*own[n][:3], a, b) for n, a, b in bucket_repeats([row[3:] for row in own]))
 
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+        def batch_of() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        out: list[tuple] = []
         for batch in batches:
-            for gram, number, core, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (gram, number, core) != key:
-                    out += done()
+            columns = [c.to_pylist() for c in batch.columns]
+            for now, row in zip(zip(*columns[:keys], strict=True), zip(*columns[keys:], strict=True), strict=True):
+                if now != key:
+                    done()
                     if len(out) > 10_000:
-                        yield batch_of(out)
-                        out = []
-                    key, rows = (gram, number, core), []
+                        yield batch_of()
+                        out.clear()
+                    key, rows = now, []
                 rows.append(row)
-        out += done()
-        if out:
-            yield batch_of(out)
+        done()
+        yield batch_of()
 
     return run
 
 
-def _large_bucket_repeats(nodes: DataFrame, width: int) -> DataFrame:
-    """The same for large buckets: one row per string, equal strings counted."""
+_REPEATS = "doc long, tie long, at long, first long, last long"
+
+
+def _split_repeats(nodes: DataFrame) -> DataFrame:
+    """Repeats within buckets of too many members (with ``parts``): single strings, equal ones folded to two, in so many buckets each."""
     start = F.explode(F.sequence(F.col("skip"), F.col("skip") + F.octet_length("left"))).alias("k")
-    strings = nodes.select("gram", "class", "core", "doc", "tie", "at", "skip", "left", "right", start).filter(F.octet_length("right") >= F.col("k"))
-    left = F.expr("substring(left, k - skip + 1)")
-    keyed = strings.select("gram", "class", "core", "k", left.alias("l"), F.expr("substring(right, 1, k)").alias("r"), "doc", "tie", "at")
-    key = ["gram", "class", "core", "k", "l", "r"]
+    strings = nodes.select("class", "core", "parts", "doc", "tie", "at", "skip", "left", "right", start).filter(F.octet_length("right") >= F.col("k"))
+    key = ["class", "core", "k", "l", "r"]
+    strings = strings.select("class", "core", "parts", "k", F.expr("substring(left, k - skip + 1)").alias("l"), F.expr("substring(right, 1, k)").alias("r"), "doc", "tie", "at")
     place = F.struct("doc", "tie", "at")
-    twice = keyed.groupBy(*key).agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select(*key)
-    return keyed.join(twice, key).select("doc", "tie", (F.col("at") + F.col("k")).alias("start"), (F.col("at") + F.col("k") + width).alias("stop"))
+    two = strings.groupBy(*key).agg(F.max("parts").alias("parts"), F.min(place).alias("a"), F.max(place).alias("b"))
+    each = two.select(*key, "parts", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("p"))
+    each = materialize(each.withColumn("sub", F.pmod(F.xxhash64("k", "l", "r"), "parts").cast("int")), "strings")
+    dealt = each.select("class", "core", "sub", "p.doc", "p.tie", "p.at", F.col("k").alias("skip"), "l", "r")
+    dealt = dealt.repartition("class", "core", "sub").sortWithinPartitions("class", "core", "sub")
+    found = materialize(dealt.mapInArrow(_sorted_buckets(3), _REPEATS), "string-repeats")
+    # The strings that repeat, and all that were folded into them.
+    same = [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in ("doc", "tie", "at")]
+    named = found.select(F.col("doc").alias("f_doc"), F.col("tie").alias("f_tie"), F.col("at").alias("f_at"), F.col("first").alias("f_k"))
+    flat = each.select(*key, "p.doc", "p.tie", "p.at")
+    repeated = flat.join(broadcast_within(named), same[0] & same[1] & same[2] & (F.col("k") == F.col("f_k"))).select(*key).distinct()
+    repeated = broadcast_within(materialize(repeated, "repeated-strings"))
+    return strings.join(repeated, key).select("doc", "tie", "at", F.col("k").cast("long").alias("first"), F.col("k").cast("long").alias("last"))
 
 
 def repeated_spans(docs: DataFrame, width: int, bucket: int) -> DataFrame:
     """(doc, tie, start, stop): byte stretches, possibly overlapping, whose union is all that repeats. ``docs`` has doc, tie and text."""
     found = materialize(
-        docs.filter(F.octet_length("text") >= width).mapInArrow(_anchors(width), "gram long, context long, doc long, tie long, span long"), "anchors")
-    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+        docs.filter(F.octet_length("text") >= width).mapInArrow(_anchors(width), "gram long, context binary, doc long, tie long, span long"), "anchors")
+    # Each side of a join below is a written table, so a gram that a third of the anchors have can be split among tasks.
+    twice = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "grams")
     some = materialize(found.join(twice, "gram"), "repeated-grams")
     discard(found)
     contexts = some.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tie", "span")).alias("one"))
     contexts = materialize(contexts, "contexts")
     low = F.shiftright("span", 32)
     whole = some.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"]).select("doc", "tie", low.alias("start"), (low + F.col("span").bitwiseAND(0xFFFF) + width).alias("stop"))
-    mixed = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 AND least = 1").select("gram")
-    members = contexts.join(mixed, "gram").select("gram", "one.*").groupBy("doc", "tie").agg(F.collect_list(F.struct("gram", "span")).alias("found"))
+    mixed = materialize(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 AND least = 1").select("gram"), "mixed-grams")
+    members = contexts.join(mixed, "gram").select("one.*").groupBy("doc", "tie").agg(F.collect_list("span").alias("spans"))
     members = materialize(members, "members")
     matched = docs.join(members.withColumnsRenamed({"doc": "d", "tie": "t"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
-    matched = matched.select("doc", "tie", "text", "found")
-    kinds = "gram long, class int, core long, doc long, tie long, at long, skip int, left binary, right binary"
+    matched = matched.select("doc", "tie", "text", "spans")
+    kinds = "class int, core binary, doc long, tie long, at long, skip int, left binary, right binary"
     nodes = materialize(matched.mapInArrow(_classes(width), kinds), "classes")
-    key = ["gram", "class", "core"]
-    large = nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select(*key)
-    large = broadcast_within(materialize(large, "large-buckets"))
-    small = nodes.join(large, key, "left_anti").repartition(*key).sortWithinPartitions(*key)
-    spans = small.select(*key, "doc", "tie", "at", "skip", "left", "right").mapInArrow(_repeats(width), "doc long, tie long, start long, stop long")
-    large = _large_bucket_repeats(nodes.join(large, key, "left_semi"), width)
-    return whole.unionByName(spans).unionByName(large)
+    key = ["class", "core"]
+    parts = F.ceil(F.col("n") * STEP / bucket).cast("int")
+    counts = nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cores = materialize(counts.select(*key, F.when(F.col("n") > bucket, parts).otherwise(1).alias("parts")), "repeated-cores")
+    again = materialize(nodes.join(cores, key), "repeated-classes")
+    discard(nodes)
+    small = again.filter("parts = 1").repartition(*key).sortWithinPartitions(*key)
+    repeats = small.select(*key, "doc", "tie", "at", "skip", "left", "right").mapInArrow(_sorted_buckets(2), _REPEATS)
+    if not cores.filter("parts > 1").isEmpty():
+        repeats = repeats.unionByName(_split_repeats(again.filter("parts > 1")))
+    return whole.unionByName(repeats.select("doc", "tie", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + width).alias("stop")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

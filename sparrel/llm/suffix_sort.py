@@ -13,11 +13,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+_OPEN = -2
+
 
 def suffix_array(text: Sequence[int]) -> list[int]:
-    """Starts of the suffixes of a sequence of small integers in ascending order; a prefix comes before what it begins."""
+    """Starts of the suffixes of a sequence of integers from 0, not much larger than its length, in ascending order; a prefix comes before what it begins."""
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
+    by_symbol: list[list[int]] = [[] for _ in range(max(text) + 1)] if n else []
+    for s, symbol in enumerate(text):
+        by_symbol[symbol].append(s)
+    order = [s for group in by_symbol for s in group]
     place, start, size = [0] * n, [0] * n, [0] * n  # of each suffix; its group's first place; by first place
     at = 0
     while at < n:
@@ -26,24 +31,30 @@ def suffix_array(text: Sequence[int]) -> list[int]:
             place[order[at]], start[order[at]] = at, first
             at += 1
         size[first] = at - first
-    before = [-1] * n
+    before = [_OPEN] * n
 
     end = n
     while end:
         group = start[order[end - 1]]
-        members = sorted(order[group:end])
         times: dict[int, int] = {}
-        for s in members:
-            p = s - 1
-            while p >= 0 and start[p] >= group:
-                p = before[p]
-            before[s] = p
-            if p >= 0:
-                times[p] = times.get(p, 0) + 1
+        for s in order[group:end]:
+            # Members that stand before this one in the text get their pointers first, so no order is needed.
+            waiting = [s] if before[s] == _OPEN else []
+            while waiting:
+                p = waiting[-1] - 1
+                while p >= 0 and start[p] >= group and before[p] != _OPEN:
+                    p = before[p]
+                if p >= 0 and start[p] >= group:
+                    waiting.append(p)
+                    continue
+                before[waiting.pop()] = p
+                if p >= 0:
+                    times[p] = times.get(p, 0) + 1
         if times:
             by_times: dict[int, list[int]] = {}
             for p, k in times.items():
                 by_times.setdefault(k, []).append(p)
+            # k different numbers of times need k * k / 2 members, so sorting them stays below linear.
             for k in sorted(by_times, reverse=True):
                 moved: dict[int, int] = {}
                 for p in by_times[k]:

@@ -69,6 +69,23 @@ def test_against_brute_force(spark, seed, width, bucket):
     assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == brute(rows, width)
 
 
+def test_structured_and_long_texts(spark, monkeypatch):
+    """Strings that any sum of powers modulo 2**64 takes for one are told apart, and stretches of a long text meet."""
+    from sparrel.llm import suffix_dedup
+
+    x = "a"
+    while len(x) < 512:
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(9)
+    noise = ["".join(rng.choice("cdefgh ") for _ in range(40)) for _ in range(6)]
+    rows = [(1, noise[0] + x + noise[1]), (2, noise[2] + y + noise[3]), (3, noise[4] + x[100:400]), (4, "".join(noise) * 6 + y[7:300])]
+    monkeypatch.setattr(suffix_dedup, "_STRETCH", 300)
+    monkeypatch.setattr(suffix_dedup._anchors, "__defaults__", (300,))
+    got = suffix_dedup.digests(suffix_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 200)
+
+
 def test_empty_table(spark):
     from sparrel.llm.suffix_dedup import drop_repeats
 
