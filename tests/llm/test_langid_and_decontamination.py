@@ -116,7 +116,7 @@ def brute_overlaps(words, item):
 def test_overlaps_against_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"w{n}" for n in range(50)]
-    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (3, 4, 6, 8, 11, 12, 13, 20, 40)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (2, 3, 4, 6, 8, 11, 12, 13, 20, 40)]
     docs, want = [], set()
     for d in range(250):
         words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))]
@@ -130,9 +130,8 @@ def test_overlaps_against_brute_force(spark):
         want |= {(d, i) for i, x in enumerate(items) if brute_overlaps(words, x)}
     frame = spark.createDataFrame([*docs, (900, None, 1), (901, "", 1), (902, "x" * 500_000, 1)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None), (51, "")], "item_id long, text string")
-    for slice_bytes in (16 << 20, 60):
-        got = decontaminate.overlaps(frame, bench, slice_bytes=slice_bytes).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    got = decontaminate.overlaps(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     for r in got:
         words, item = docs[r.doc_id][1].lower().replace(",", " ").split(), items[r.item_id]
         pairs = zip(words[r.doc_start : r.doc_start + r.length], item[r.item_start : r.item_start + r.length], strict=True)
@@ -140,3 +139,24 @@ def test_overlaps_against_brute_force(spark):
     assert decontaminate.overlaps(frame.limit(0), bench).count() == 0
     assert decontaminate.overlaps(frame, bench.limit(0)).count() == 0
     assert math.comb(4, 2) == len(decontaminate.MASKS)
+
+
+def test_repetitive_and_repeated_texts(spark):
+    """Ten thousand words against an item of two thousand, both of two words: hits fold to shifts."""
+    long = "tick tock " * 5000
+    schema = "doc_id long, text string, n int, tie string"
+    docs = spark.createDataFrame([(1, long, 1, ""), (1, long, 2, ""), (None, "tick tock " * 6, 3, None), (2, "tick " * 40, 4, "")], schema)
+    bench = spark.createDataFrame([(7, "tick tock " * 1000), (7, "tick tock " * 1000), (8, "tock")], "item_id long, text string")
+    got = sorted(decontaminate.overlaps(docs, bench).collect(), key=repr)
+    assert [(r.doc_id, r.item_id, r.length, r.matched) for r in got if r.item_id == 7] == [(1, 7, 2000, 2000)] * 2 + [(None, 7, 12, 12)]
+    assert [r.doc_id for r in got if r.item_id == 8] == [1, 1, None]
+    assert decontaminate.contaminated(docs, bench).count() == 2
+
+
+def test_hashes_do_not_decide():
+    bits = decontaminate.BitTable(16, np.arange(1 << 16))
+    doc, item = decontaminate.Words("a b c d e f g h"), decontaminate.Words("a b c d e f g h")
+    assert decontaminate.best_overlap(doc, item, bits) == (0, 0, 8, 8)
+    item.lower = item.lower.copy()
+    item.lower[:] = 120
+    assert decontaminate.best_overlap(doc, item, bits) is None
