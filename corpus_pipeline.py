@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 of documents. ``run`` writes each stage's rows to the shared folder and reads them back for the next.
 Null ids, null and empty texts: language ID drops texts without letters, so later stages see none of
 those; a row with a null id is kept unless a copy has an id; rows that repeat an id and a text stay
-together. Extra columns ride along until packing.
+or go together, and rows of one id with other texts go by their own texts (near copies under one id
+count as one document and stay). Extra columns ride along until packing.
 """
 
 from __future__ import annotations
@@ -16,16 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrel.llm import packing
-from sparrel.llm.common import materialize
+from sparrel.llm.common import broadcast_within, materialize
 from sparrel.llm.decontaminate import contaminated
 from sparrel.llm.exact_dedup import exact_dedup
 from sparrel.llm.langid import UNKNOWN, held_out, identify
-from sparrel.llm.near_dedup import near_duplicates
+from sparrel.llm.near_dedup import near_duplicates, text_tie
 
 #: Documents whose best language has a smaller share than this are rejected.
 LEAST_SHARE = 0.5
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not in ``gone`` (doc_id, tie)."""
+    left, right = docs.alias("_docs"), broadcast_within(gone).alias("_gone")
+    same = F.col("_docs.doc_id").eqNullSafe(F.col("_gone.doc_id")) & (text_tie(F.col("_docs.text")) == F.col("_gone.tie"))
+    return left.join(right, same, "left_anti")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those that no learned language explains better than the others together."""
     found = identify(docs, docs.filter(~held_out()), public_tokenizers.path("piece_bpe_32k.model"))
@@ -40,14 +48,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents linked at a similarity of 0.8 over five-word shingles keep the smallest id."""
     groups = near_duplicates(docs, k=5, share=(80, 100))
-    gone = materialize(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = materialize(groups.filter("doc_id <> component_id").select("doc_id", "tie").distinct(), "near-copies")
+    return _without(docs, gone)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that overlap with a benchmark item."""
     found = materialize(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return _without(docs, found)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
