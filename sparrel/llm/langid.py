@@ -5,7 +5,7 @@ ways. Per language each piece has a probability; the probability of a word is th
 segmentations, by a forward pass over character positions, and a text's is the product over its
 words. Piece probabilities are fitted by expectation-maximisation with forward and backward sums on
 a bounded sample of labelled documents; single characters outside the vocabulary share a small
-floor. Words beyond 48 characters are scored in consecutive stretches.
+floor. Sums over long words are rescaled as they go, so words of any length are scored whole.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; without labelled rows
 every text is ``und``; rows without a language are not learned from; repeated rows are predicted
@@ -14,44 +14,42 @@ alike; other columns are kept, except those named like a result column.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparrel.llm.common import worker_resource
 from sparrel.llm.shingles import chunks
 
 MARK = "▁"
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
-_LONGEST_WORD = 48
-_LONGEST_PIECE = 8
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Words up to this length need no rescaling: their sums stay far above the smallest float.
+_SHORT = 40
+_SLAB = 1 << 15
 _BASE = 0x9E3779B97F4A7C15
 _SPREAD = 0xD1342543DE82EF95
 
 
 def vocabulary(path: str) -> list[str]:
-    """Pieces of a sentence-piece model that can occur in a marked word, lower-cased, of at most 8 characters."""
+    """Pieces of a sentence-piece model that can occur in a marked word, lower-cased."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(n).lower() for n in range(model.get_piece_size()) if not (model.is_control(n) or model.is_byte(n) or model.is_unknown(n))}
-    return sorted(p for p in pieces if len(p) <= _LONGEST_PIECE and ((body := p.removeprefix(MARK)) == "" or _LETTERS.fullmatch(body)))
+    return sorted(p for p in pieces if ((body := p.removeprefix(MARK)) == "" or _LETTERS.fullmatch(body)))
 
 
 def marked_words(unit: str) -> list[str]:
-    """The words of a stretch of text, each behind the mark, long ones cut."""
-    found = []
-    for word in _LETTERS.findall(unit.lower()):
-        marked = MARK + word
-        found += [marked[n : n + _LONGEST_WORD] for n in range(0, len(marked), _LONGEST_WORD)]
-    return found
+    """The words of a stretch of text, each behind the mark."""
+    return [MARK + word for word in _LETTERS.findall(unit.lower())]
 
 
 class Lattice:
@@ -105,7 +103,7 @@ class Lattice:
 
 
 def forward(table: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """Scaled forward sums, shape (word, position, language), and the log of each position's scale."""
+    """Forward sums, shape (word, position, language), of words of one length up to ``_SHORT``."""
     count, length, reach = table.shape
     padded = np.vstack([chances, np.zeros((1, chances.shape[1]))])  # the last row serves number -1
     alpha = np.zeros((count, length + 1, chances.shape[1]))
@@ -135,12 +133,32 @@ def expected_counts(table: np.ndarray, weights: np.ndarray, chances: np.ndarray)
     return total[:-1]
 
 
+def long_word(word: str, lattice: Lattice, chances: np.ndarray) -> np.ndarray:
+    """Log of the forward sum of one word of any length, per language: a slab of starts at a time, rescaled whenever sums get small."""
+    padded = np.vstack([chances, np.zeros((1, chances.shape[1]))])
+    logs, reach = np.zeros(chances.shape[1]), lattice.longest
+    open_sums = np.zeros((reach, chances.shape[1]))
+    open_sums[0] = 1
+    for first in range(0, len(word), _SLAB):
+        ((_, table),) = lattice.groups([word[first : first + _SLAB + reach - 1]])
+        steps, count = table.shape[2], min(_SLAB, len(word) - first)
+        sums = np.vstack([open_sums, np.zeros((count, chances.shape[1]))])
+        for n in range(count):
+            if sums[n].min() < 1e-100:
+                factor = np.where(sums[n] < 1e-100, 1e100, 1.0)
+                sums[n : n + reach] *= factor
+                logs -= np.log(factor)
+            sums[n + 1 : n + 1 + steps] += sums[n] * padded[table[0, n]][: len(sums) - n - 1]
+        open_sums = sums[count : count + reach]
+    return np.log(open_sums[0]) + logs
+
+
 def fit(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 3, floor: float = 1e-6) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece chances (piece, language) from (language, text) samples."""
+    """Languages and their piece chances (piece, language) from the words of up to ``_SHORT`` characters of (language, text) samples."""
     languages = sorted({lang for lang, _ in samples})
     counts: dict[str, Counter] = defaultdict(Counter)
     for lang, text in samples:
-        counts[lang].update(w for unit in text.split() for w in marked_words(unit))
+        counts[lang].update(w for unit in text.split() for w in marked_words(unit) if len(w) <= _SHORT)
     words = sorted(set().union(*counts.values())) if counts else []
     weights = np.array([[counts[lang][w] for lang in languages] for w in words], float).reshape(len(words), len(languages))
     lattice = Lattice(pieces)
@@ -157,17 +175,18 @@ def fit(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 3, floo
 
 
 class Scorer:
-    """Log chances of texts per language, with a bounded memory of word results."""
+    """Log chances of texts per language, with a memory of word results that is bounded in bytes."""
 
-    def __init__(self, pieces: list[str], languages: list[str], chances: np.ndarray, capacity: int = 300_000) -> None:
-        self.lattice, self.languages, self.chances, self.capacity = Lattice(pieces), languages, chances, capacity
+    def __init__(self, pieces: list[str], languages: list[str], chances: np.ndarray, capacity: int = 64 << 20) -> None:
+        self.lattice, self.languages, self.chances = Lattice(pieces), languages, chances
+        self.capacity = capacity // (8 * len(languages) + 200)
         self._reset()
 
     def _reset(self) -> None:
         self.units: dict[str, int] = {}
         self.words: dict[str, int] = {}
         self.used = 1  # row 0 is that of units without words
-        self.scores = np.zeros((1 << 16, len(self.languages) + 1))
+        self.scores = np.zeros((1 << 10, len(self.languages) + 1))
 
     def _rows(self, n: int) -> int:
         while len(self.scores) < self.used + n:
@@ -182,10 +201,17 @@ class Scorer:
         start = self._rows(len(new))
         self.words.update(zip(new, range(start, start + len(new)), strict=True))
         self.scores[start : start + len(new), -1] = 1
-        for places, table in self.lattice.groups(new):
-            at = np.array(places)
-            for k in range(0, len(places), 4096):
-                self.scores[start + at[k : k + 4096], :-1] = np.log(np.maximum(forward(table[k : k + 4096], self.chances)[:, -1], 1e-300))
+        short = [n for n, w in enumerate(new) if len(w) <= _SHORT]
+        for first in range(0, len(short), 1 << 14):
+            some = short[first : first + (1 << 14)]
+            for places, table in self.lattice.groups([new[n] for n in some]):
+                at = np.array(some)[places]
+                width = max(1, (1 << 15) // max(1, len(self.languages)))
+                for k in range(0, len(places), width):
+                    self.scores[start + at[k : k + width], :-1] = np.log(forward(table[k : k + width], self.chances)[:, -1])
+        for n, w in enumerate(new):
+            if len(w) > _SHORT:
+                self.scores[start + n, :-1] = long_word(w, self.lattice, self.chances)
         for unit, words in zip(units, found, strict=True):
             if len(words) == 1:
                 self.units[unit] = self.words[words[0]]
@@ -221,40 +247,34 @@ class Scorer:
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, share, 0.0)
 
 
-_scorers: dict[str, Scorer] = {}
+def _scorer(name: str, model) -> Scorer:
+    """The worker's scorer of a broadcast model, kept from task to task while no other resource is asked for."""
+    return worker_resource(("scorer", name), lambda: Scorer(*model.value))
 
 
-def _scorer(name: str, model) -> Scorer:
-    """The worker's scorer of a broadcast model, kept from task to task."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(*model.value)
-    return _scorers[name]
-
-
-def labelled_sample(docs: DataFrame, per_language: int, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """About ``per_language`` whole documents of each language, chosen by hash of id and text: the only rows the fit reads."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    shares = {r.lang: min(1.0, per_language / r.n) for r in counts.orderBy(F.desc("n"), "lang").limit(256).collect()}
+def labelled_sample(docs: DataFrame, per_language: int, languages: int, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """About ``per_language`` whole documents of each of the ``languages`` most frequent languages, chosen by hash of the text, equal texts once: the only rows the fit reads."""
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("different"))
+    shares = {r.lang: min(1.0, per_language / max(1, r.different)) for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not shares:
         return []
-    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     limit = F.create_map(*[x for lang, s in shares.items() for x in (F.lit(lang), F.lit(s))])
-    return [(r.lang, r.text) for r in rows.filter(place < F.try_element_at(limit, F.col("lang"))).select("lang", "text").orderBy("lang", "text").collect()]
-
-
-_scorers: dict[int, Scorer] = {}
+    return [(r.lang, r.text) for r in rows.filter(place < F.try_element_at(limit, F.col("lang"))).select("lang", "text").distinct().orderBy("lang", "text").collect()]
 
 
-def identify(docs: DataFrame, training: DataFrame, vocabulary_path: str, per_language: int = 150, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+def identify(
+    docs: DataFrame, training: DataFrame, vocabulary_path: str, per_language: int = 150, languages: int = 1000, text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
     """``docs`` with lang_pred and score. Learns from text and language of ``training`` only.
 
-    ``per_language``: mean number of documents per language that the fit reads, at most 256 languages.
+    ``per_language``, ``languages``: the fit reads so many documents per language on average, and learns so many
+    languages at most, the most frequent ones: its sample is bounded by both.
     """
     pieces = vocabulary(vocabulary_path)
-    languages, chances = fit(labelled_sample(training, per_language, text_col, lang_col, id_col), pieces)
-    model = docs.sparkSession.sparkContext.broadcast((pieces, languages, chances))
+    learned, chances = fit(labelled_sample(training, per_language, languages, text_col, lang_col), pieces)
+    model = docs.sparkSession.sparkContext.broadcast((pieces, learned, chances))
     name = uuid.uuid4().hex
     base = docs.drop("lang_pred", "score")
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -64,12 +64,98 @@ def test_expected_counts():
     assert got == pytest.approx(brute_counts("▁abab", {p: chances[k + 1, 0] for k, p in enumerate(pieces)}, 1e-3, pieces))
 
 
+@pytest.mark.parametrize("slab", [7, 1 << 15])
+def test_long_words_are_summed_whole(monkeypatch, slab):
+    pieces = ["a", "b", "ab", "▁a", "▁", "ba", "aba", "abbabb"]
+    chances = np.vstack([np.full((1, 2), 1e-6), np.random.default_rng(1).random((len(pieces), 2))])
+    lattice = langid.Lattice(pieces)
+    monkeypatch.setattr(langid, "_SLAB", slab)
+    for word in ("▁abab", "▁", "a", "▁abbabbxxab" * 3):
+        ((_, table),) = lattice.groups([word])
+        assert langid.long_word(word, lattice, chances) == pytest.approx(np.log(langid.forward(table, chances)[0, -1]))
+    # a run of unknown letters: each costs the floor
+    assert langid.long_word("é" * 5000, lattice, chances) == pytest.approx(5000 * np.log(1e-6))
+
+
+def test_letters():
+    assert langid.marked_words("½ ² Ⅷ ① 12 a1b don't É") == ["▁a", "▁b", "▁don", "▁t", "▁é"]
+    assert max(map(len, langid.vocabulary(PIECES))) > 8
+
+
+def test_many_languages(spark):
+    """Each of 300 languages is learned; a row repeated often is read once."""
+    rows = [(n, f"{chr(97 + n % 26)}{chr(97 + n // 26)}{chr(97 + n % 26)} " * 30, f"l{n:03}") for n in range(300)] + [(1000, "qq qq", "often")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.labelled_sample(docs, 150, 1000)) == 301
+    assert len({lang for lang, _ in langid.labelled_sample(docs, 150, 20)}) == 20
+    got = langid.identify(docs, docs, PIECES).filter("doc_id < 1000").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 295
+
+
+def brute_predictions(samples, texts, pieces, rounds=3, floor=1e-6):
+    """The whole model in plain Python: expectation-maximisation, forward sums, shares."""
+    languages = sorted({lang for lang, _ in samples})
+    words = {lang: [w for x, t in samples if x == lang for w in langid.marked_words(t)] for lang in languages}
+    chance = {lang: dict.fromkeys(pieces, 1 / (len(pieces) + 1)) for lang in languages}
+    unknown = 1 / (len(pieces) + 1)
+
+    def sums(word, p):
+        out = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            out[j] = sum(out[i] * p.get(word[i:j], unknown if j - i == 1 else 0.0) for i in range(j))
+        return out
+
+    for _ in range(rounds):
+        for lang in languages:
+            p, total, other = chance[lang], dict.fromkeys(pieces, 0.01), 0.01
+            for w in words[lang]:
+                left, right = sums(w, p), sums(w[::-1], {k[::-1]: v for k, v in p.items()})[::-1]
+                for i in range(len(w)):
+                    for j in range(i + 1, len(w) + 1):
+                        q = p.get(w[i:j], unknown if j - i == 1 else 0.0)
+                        use = left[i] * q * right[j] / left[-1]
+                        if w[i:j] in p:
+                            total[w[i:j]] += use
+                        else:
+                            other += use
+            whole = sum(total.values()) + other
+            chance[lang] = {k: v / whole for k, v in total.items()}
+        unknown = floor
+    out = []
+    for text in texts:
+        found = langid.marked_words(text or "")
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        logs = [sum(math.log(sums(w, chance[lang])[-1]) for w in found) for lang in languages]
+        best = max(logs)
+        out.append((languages[logs.index(best)], 1 / sum(math.exp(x - best) for x in logs)))
+    return out
+
+
+def test_whole_query_against_brute_force(spark, tmp_path, monkeypatch):
+    from sparrel.llm import queries
+
+    rng = random.Random(2)
+    pieces = ["▁", "a", "b", "c", "ab", "▁ab", "bc", "▁c", "abc", "▁abcabcab", "ca"]
+    odds = {"x": "aab", "y": "bbc", "z": "cca"}
+    rows = [(n, " ".join("".join(rng.choice(odds[k]) for _ in range(rng.randrange(1, 9))) for _ in range(6)), k, "s", 1) for n in range(60) for k in "xyz"[n % 3]]
+    rows += [(100, None, "x", "s", 0), (101, "½ 12", None, "s", 0), (102, "d" * 30 + " abc", None, "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(langid, "vocabulary", lambda _: sorted(pieces))
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in queries.op5_language_id(spark, str(tmp_path)).collect()}
+    held = {n: zlib.crc32(str(n).encode()) % 4 == 2 for n, *_ in rows}
+    want = brute_predictions([(lang, t) for n, t, lang, *_ in rows if lang and t and not held[n]], [t for _, t, *_ in rows], pieces)
+    for (n, *_), (lang, score) in zip(rows, want, strict=True):
+        assert got[n][:2] == (held[n], lang) and got[n][2] == pytest.approx(score)
+
+
 def test_scorer_memory_does_not_change_results():
     pieces = langid.vocabulary(PIECES)
     samples = [("en", "the cat and the dog were there"), ("de", "der hund und die katze waren da")]
     languages, chances = langid.fit(samples, pieces)
     texts = ["the dog", "don't stop-it", None, "", "12 !?", "die katze " * 50, "x" * 200, "ÄÖ ß", "日本"]
-    small, large = (langid.Scorer(pieces, languages, chances, capacity=n) for n in (2, 1000))
+    small, large = (langid.Scorer(pieces, languages, chances, capacity=n) for n in (500, 1 << 20))
     want = large.totals(texts)
     assert np.vstack([small.totals([t]) for t in texts]) == pytest.approx(want)
     assert large.predict(texts)[0][:6] == ["en", large.predict(["don't stop-it"])[0][0], "und", "und", "und", "de"]
