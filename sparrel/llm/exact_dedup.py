@@ -7,7 +7,8 @@ files in the shared folder by further hash bits and treats each file the same wa
 
 Defined cases: a null text counts as the empty text; null ids are ignored by the minimum, and a
 group with null ids only keeps null; rows that repeat the smallest id of a group are one document
-and stay together; an empty table gives an empty result; other columns are not read.
+and stay together; an empty table gives an empty result; other columns ride along, whatever their
+names, except those named like a result column.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 class GraceTable:
     """Folds (hash, content, smallest id, count) records into groups of equal content."""
 
@@ -74,8 +79,8 @@ class GraceTable:
         self.bytes += len(content) + 200
         if 2 * len(self.hashes) > len(self.slots):
             self._grow()
-        # One content larger than the budget, or hashes that no further bits part, stay in memory.
-        if self.bytes > self.budget and len(self.hashes) > 1 and self.depth < 8:
+        # Sixteen levels read all 64 bits: what is left together then has one hash and, being keyed by SHA-256, one content.
+        if self.bytes > self.budget and len(self.hashes) > 1 and self.depth < 16:
             self._partition()
 
     def _grow(self) -> None:
@@ -93,7 +98,7 @@ class GraceTable:
         self._reset()
 
     def _write(self, h: int, content: bytes, smallest: int, count: int) -> None:
-        bits = (h * 0x9E3779B97F4A7C15 + self.depth * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF) >> (4 * self.depth)
+        bits = (h * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (4 * self.depth)
         self.files[bits % self.fanout].write(_HEAD.pack(h, smallest, count, 0, len(content)) + content)
 
     def groups(self) -> Iterator[tuple[int, bytes, int, int]]:
@@ -168,17 +173,19 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20) -> DataFrame:
-    """All rows of ``docs`` with keep_id, group_size, kept and text_sha256 (names of ``docs`` win no clash: its own columns of these names go)."""
+    """All rows and columns of ``docs`` with keep_id, group_size, kept and text_sha256; columns of these names in ``docs`` are replaced."""
     added = ("keep_id", "group_size", "kept", "text_sha256")
-    groups = broadcast_within(materialize(copy_groups(docs, id_col, text_col, budget), "copies"))
-    groups = groups.toDF("_digest", "_smallest", "_n")
-    rows = docs.drop(*added).withColumn("_own", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    joined = rows.join(groups, F.col("_own") == F.col("_digest"), "left")
-    keep = F.when(F.col("_n").isNull(), F.col(id_col)).otherwise(F.col("_smallest"))
+    names = [c for c in docs.columns if c not in added]
+    # Names of this join that no column of the user's can have.
+    own, digest, smallest, count = (f"{name}_{uuid.uuid4().hex}" for name in ("own", "digest", "smallest", "count"))
+    groups = broadcast_within(materialize(copy_groups(docs, id_col, text_col, budget), "copies")).toDF(digest, smallest, count)
+    rows = docs.select(*[F.col(_quoted(c)) for c in names], F.unhex(F.sha2(normalised(F.col(_quoted(text_col))), 256)).alias(own))
+    joined = rows.join(groups, F.col(own) == F.col(digest), "left")
+    keep = F.when(F.col(count).isNull(), F.col(_quoted(id_col))).otherwise(F.col(smallest))
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in added],
+        *[F.col(_quoted(c)) for c in names],
         keep.alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col(id_col)).alias("kept"),
-        F.lower(F.hex("_own")).alias("text_sha256"),
+        F.coalesce(count, F.lit(1)).cast("long").alias("group_size"),
+        keep.eqNullSafe(F.col(_quoted(id_col))).alias("kept"),
+        F.lower(F.hex(own)).alias("text_sha256"),
     )

@@ -11,6 +11,10 @@ def test_copies(spark):
     got = sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept, r.n) for r in exact_dedup(spark.createDataFrame(rows, DOCS)).collect())
     assert got == [(-1, 1, 3, False, 6), (1, 1, 3, True, 5), (1, 1, 3, True, 5), (3, 3, 2, True, 2), (5, 3, 2, False, 1), (7, 7, 1, True, 0), (8, 8, 2, True, 4), (9, 8, 2, False, 3)]
     assert exact_dedup(spark.createDataFrame([], DOCS)).count() == 0
+    odd = spark.createDataFrame([(2, "a", "mine", 7, "s", "d")] * 2 + [(1, "a", None, 8, "t", "e")], "doc_id long, text string, _own string, _n int, smallest string, `a.b` string")
+    got = exact_dedup(odd)
+    assert got.columns == ["doc_id", "text", "_own", "_n", "smallest", "a.b", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted((r[0], r[2], r[3], r[5], r[6]) for r in got.collect()) == [(1, None, 8, "e", 1), (2, "mine", 7, "d", 1), (2, "mine", 7, "d", 1)]
 
 
 def test_long_texts_and_spills(spark):
