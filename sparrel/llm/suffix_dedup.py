@@ -277,7 +277,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def drop_repeats(docs: DataFrame, width: int = 200, bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, width: int = 200, bucket: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) per row; ``kept`` holds the remaining bytes."""
     if not GRAM + STEP <= width < 1 << 16:
         raise ValueError(f"repeats of {GRAM + STEP} to {(1 << 16) - 1} bytes can be found")
