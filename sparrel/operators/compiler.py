@@ -95,4 +95,4 @@ def compile_plan(query: Query, catalog: Catalog) -> DataFrame:
 def run_plan(spark, plan: str | Query, folder: str) -> DataFrame:
     """Compile a Query, or its JSON text, against the Parquet tables of a folder."""
     query = Query.from_json(plan) if isinstance(plan, str) else plan
-    return compile_plan(query, Catalog.parquet(spark, folder))
+    return compile_plan(query, Catalog.cached(spark, folder))

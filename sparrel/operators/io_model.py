@@ -1,4 +1,4 @@
-"""Mechanical disk cost model over an I/O trace, as one window projection.
+"""Mechanical disk cost model over an I/O trace, as a projection over windows of bounded stretches.
 
 A trace row is (seq, kind, start_block, num_blocks). Costs follow the head's last cylinder and
 block, which are those of the previous non-empty request.
@@ -29,16 +29,31 @@ class Geometry:
             raise ValueError("disk geometry must be positive")
 
 
-def request_costs(trace: DataFrame, disk: Geometry = Geometry(), per_device: str | None = None) -> DataFrame:
+def _last_end(trace: DataFrame, per_device: str | None, stretch: int) -> DataFrame:
+    """The non-empty requests with ``last_end``, the last block of the request before.
+
+    The sequence is cut into stretches that are windowed side by side; only their last requests meet
+    in one place.
+    """
+    device = F.col(per_device) if per_device else F.lit(0)
+    end = F.col("start_block") + F.col("num_blocks") - 1
+    busy = trace.filter("num_blocks > 0").withColumns({"_device": device, "_part": F.floor(F.col("seq") / stretch), "_end": end})
+    inside = Window.partitionBy("_device", "_part").orderBy("seq")
+    ends = busy.groupBy("_device", "_part").agg(F.max_by("_end", "seq").alias("_final"))
+    carried = ends.select(F.col("_device").alias("_d"), F.col("_part").alias("_p"), F.lag("_final").over(Window.partitionBy("_device").orderBy("_part")).alias("_carried"))
+    same = F.col("_device").eqNullSafe(F.col("_d")) & F.col("_part").eqNullSafe(F.col("_p"))
+    joined = busy.withColumn("_before", F.lag("_end").over(inside)).join(carried, same)
+    return joined.withColumn("last_end", F.coalesce("_before", "_carried", F.lit(0))).drop("_device", "_part", "_end", "_d", "_p", "_carried", "_before")
+
+
+def request_costs(trace: DataFrame, disk: Geometry = Geometry(), per_device: str | None = None, stretch: int = 1_000_000) -> DataFrame:
     """The non-empty requests of a trace with seek_ms, rotation_ms, transfer_ms and cylinders.
 
-    A device's requests follow one head, so the window orders each device's trace as a whole;
-    ``per_device`` names the column that tells devices apart.
+    A device's requests follow one head; ``per_device`` names the column that tells devices apart.
     """
-    head = Window.partitionBy(*([per_device] if per_device else [])).orderBy("seq")
     per_cylinder = disk.blocks_per_track * disk.heads
     end = F.col("start_block") + F.col("num_blocks") - 1
-    busy = trace.filter("num_blocks > 0").withColumn("last_end", F.coalesce(F.lag(end).over(head), F.lit(0)))
+    busy = _last_end(trace, per_device, stretch)
     first, final, before = (F.floor(x / per_cylinder) for x in (F.col("start_block"), end, F.col("last_end")))
     far = F.abs(first - before)
     reach = disk.track_to_track_ms + (disk.full_stroke_ms - disk.track_to_track_ms) * F.sqrt(F.least(F.lit(1.0), far / disk.cylinders))

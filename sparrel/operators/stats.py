@@ -53,28 +53,40 @@ def range_and_density(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def global_rank(df: DataFrame, column: str) -> DataFrame:
-    """The values of a column with their zero-based position ``rank`` in sorted order.
+def value_ranks(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """(value, n, rank): each distinct value, how often it occurs, and the zero-based position of its first occurrence in sorted order.
 
-    Range partitions are sorted on their own; their offsets come from one count per partition.
+    Equal values fold before the shuffle. Numeric values are cut into ``parts`` ranges at approximate quantiles that
+    are part of the query, so a value's range never depends on how a plan is run; ranges are ranked side by side.
     """
-    ordered = df.select(F.col(column).alias("value")).repartitionByRange("value").sortWithinPartitions("value")
-    place = F.monotonically_increasing_id()
-    numbered = ordered.select("value", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("inside"))
-    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    values = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull())
+    folded = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    if tag_of(values.schema["value"].dataType) in NUMERIC:
+        cuts = values.agg(F.percentile_approx("value", [k / parts for k in range(1, parts)], 1000).alias("cuts"))
+        placed = folded.join(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    else:
+        placed = folded.withColumn("part", F.lit(0))
+    sizes = placed.groupBy("part").agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    return numbered.join(offsets, "part").select("value", (F.col("before") + F.col("inside")).alias("rank"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(offsets), "part").select("value", "n", (F.col("before") + F.col("inside")).alias("rank"))
 
 
-def equi_depth_histogram(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
-    """Rows (bucket, lower_bound, upper_bound, frequency); each bucket holds ceil(n/buckets) rows."""
-    total = df.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(buckets))).alias("depth"))
-    placed = global_rank(df, column).join(F.broadcast(total))
-    return (
-        placed.groupBy(F.floor(F.col("rank") / F.col("depth")).cast("int").alias("bucket"))
-        .agg(F.min("value").alias("lower_bound"), F.max("value").alias("upper_bound"), F.count(F.lit(1)).alias("frequency"))
-    )
+def equi_depth_histogram(df: DataFrame, column: str, buckets: int = 10, most_strings: int = 50) -> DataFrame:
+    """Rows (bucket, lower_bound, upper_bound, frequency); each bucket holds ceil(n/buckets) rows, the last one the rest.
+
+    Strings have a histogram only if there are at most ``most_strings`` different ones; else the result is empty.
+    """
+    if tag_of(df.schema[column].dataType) not in NUMERIC:
+        few = df.agg((F.approx_count_distinct(column, 0.01) <= most_strings).alias("few"))
+        df = df.select(column).join(F.broadcast(few)).filter("few").drop("few")
+    total = df.agg(F.ceil(F.count(column) / F.lit(float(buckets))).alias("depth"))
+    ranked = value_ranks(df, column).join(F.broadcast(total))
+    low, high = F.floor(F.col("rank") / F.col("depth")), F.floor((F.col("rank") + F.col("n") - 1) / F.col("depth"))
+    spread = ranked.withColumn("bucket", F.explode(F.sequence(low, high)))
+    inside = F.least(F.col("rank") + F.col("n"), (F.col("bucket") + 1) * F.col("depth")) - F.greatest(F.col("rank"), F.col("bucket") * F.col("depth"))
+    return spread.groupBy(F.col("bucket").cast("int").alias("bucket")).agg(F.min("value").alias("lower_bound"), F.max("value").alias("upper_bound"), F.sum(inside).alias("frequency"))
 
 
 def is_ordered(df: DataFrame, column: str, sequence: str, stretch: int = 1_000_000) -> DataFrame:

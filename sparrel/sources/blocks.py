@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -71,14 +72,32 @@ def _tags(schema: T.StructType) -> list[str]:
     return tags
 
 
-def read_blocks(spark: SparkSession, path: str, schema: T.StructType, block_size: int = 4096) -> DataFrame:
-    """Rows of a block file. Fixed-length records are the one input Spark offers as an RDD only."""
+def encode_frame(df: DataFrame, block_size: int = 4096) -> DataFrame:
+    """The rows of each partition as blocks, in one binary column ``block``."""
+    tags = _tags(df.schema)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for batch in batches for r in batch.itertuples(index=False, name=None))
+        blocks = encode_blocks(rows, tags, block_size)
+        while some := list(islice(blocks, 1000)):
+            yield pd.DataFrame({"block": some})
+
+    return df.mapInPandas(encode, "block binary")
+
+
+def decode_frame(blocks: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of blocks in a binary column ``block``."""
     tags, names = _tags(schema), schema.names
-    raw = spark.sparkContext.binaryRecords(path, block_size).map(lambda b: (bytearray(b),))
-    blocks = spark.createDataFrame(raw, "block binary")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([r for b in batch["block"] for r in decode_block(bytes(b), tags)], columns=names)
 
-    return blocks.mapInPandas(decode, schema)
+    return blocks.select("block").mapInPandas(decode, schema)
+
+
+def read_blocks(spark: SparkSession, path: str, schema: T.StructType, block_size: int = 4096) -> DataFrame:
+    """Rows of a block file. Fixed-length records are the one input Spark offers as an RDD only."""
+    _tags(schema)
+    raw = spark.sparkContext.binaryRecords(path, block_size).map(lambda b: (bytearray(b),))
+    return decode_frame(spark.createDataFrame(raw, "block binary"), schema)

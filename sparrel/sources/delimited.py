@@ -30,10 +30,15 @@ def read_schema(spark: SparkSession, path: str) -> T.StructType:
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Lazily read a file or folder; every check is part of the row expression."""
+    return parse_rows(spark.read.text(path), schema)
+
+
+def parse_rows(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Typed rows of lines in a column ``value``."""
     parts = F.split("value", r"\|", -1)
     width = len(schema)
     trailing = (F.size("parts") == width + 1) & (F.element_at("parts", -1) == "")
-    rows = spark.read.text(path).select("value", parts.alias("parts"))
+    rows = lines.select("value", parts.alias("parts"))
     wrong = F.raise_error(F.concat(F.lit(f"expected {width} fields: "), F.col("value")))
     fields = F.when(trailing | (F.size("parts") == width), F.col("parts")).otherwise(wrong)
     checked = rows.select(fields.alias("parts"))

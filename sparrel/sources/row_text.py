@@ -13,6 +13,7 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparrel.functions.types import F32, F64, tag_of
 
@@ -32,21 +33,23 @@ def to_row_text(df: DataFrame) -> DataFrame:
     if not tags:
         raise ValueError("a row without columns has no text")
 
+    ids = df.toDF(*[f"c{n}" for n in range(len(tags))])
+    floats = [n for n, tag in enumerate(tags) if tag in (F32, F64)]
+    if not floats:
+        parts = [x for n in range(len(tags)) for x in (F.coalesce(F.col(f"c{n}").cast("string"), F.lit("")), F.lit("|"))]
+        return ids.select(F.concat(*parts).alias("value"))
+
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             columns = []
             for n, tag in enumerate(tags):
                 values = batch.iloc[:, n]
-                if tag in (F32, F64):
-                    columns.append(["" if v is None else format_float(v, tag == F32) for v in values])
-                else:
-                    columns.append(["" if v is None or v is pd.NaT or v is pd.NA else str(v) for v in values])
+                columns.append(values if n not in floats else ["" if gone else format_float(v, tag == F32) for v, gone in zip(values, batch[f"n{n}"], strict=True)])
             yield pd.DataFrame({"value": ["".join(f"{v}|" for v in row) for row in zip(*columns, strict=True)]})
 
-    ids = df.toDF(*[f"c{n}" for n in range(len(tags))])
-    # Integers with nulls would turn into floats in pandas: they travel as text.
-    sent = ids.select(*[ids[f"c{n}"] if t in (F32, F64) else ids[f"c{n}"].cast("string") for n, t in enumerate(tags)])
-    return sent.mapInPandas(lines, "value string")
+    # Only floats need more than a cast; a null goes as a mark beside them, since pandas takes it for NaN.
+    sent = [F.col(f"c{n}") if n in floats else F.coalesce(F.col(f"c{n}").cast("string"), F.lit("")).alias(f"c{n}") for n in range(len(tags))]
+    return ids.select(*sent, *[F.col(f"c{n}").isNull().alias(f"n{n}") for n in floats]).mapInPandas(lines, "value string")
 
 
 def protocol_lines(df: DataFrame) -> Iterator[str]:

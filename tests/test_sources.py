@@ -64,6 +64,7 @@ def test_runner(spark):
     catalog = Catalog().register("t", spark.createDataFrame([(2, "b", 1.5), (1, "a", 2.0)], "i int, s string, d double"))
     plan = Scan("t").sort("i").project("s", "d").build()
     assert list(protocol_lines(spark.createDataFrame([(1, None)], "i int, s string"))) == ["validate", "1||", "!"]
+    assert list(protocol_lines(spark.createDataFrame([(1, None), (2, float("nan"))], "i int, d double").coalesce(1)))[1:3] == ["1||", "2|NaN.0|"]
     good = Case("ok", plan.to_json(), ("a|2.0|", "b|1.5|"))
     assert run_suite(catalog, [good, Case("off", "", (), disabled=True), Case("any", plan.to_json(), ("b|1.5|", "a|2.0|"), True)]) == ["ok", "any"]
     for wrong in (("b|1.5|", "a|2.0|"), ("a|2.0|",)):
