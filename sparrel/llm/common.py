@@ -22,6 +22,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _created: list[str] = []
 
 T = TypeVar("T")
@@ -64,15 +66,20 @@ def _remove() -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: the lineage ends there, its size is known.
 
-    The write's shuffle files go when it ends, since nothing reads them again.
+    The write's shuffle files go when it ends, since nothing reads them again. Rows go to Python workers in batches
+    of at most 2000, so that whole texts fit beside what the workers hold.
     """
     spark, path = df.sparkSession, scratch_folder(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
+    rows = int(spark.conf.get(_BATCH_ROWS, "10000"))
+    wanted = {_CLEAN_UP: "true", _BATCH_ROWS: str(min(rows, 2000) if rows > 0 else 2000)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -107,14 +114,14 @@ _resource: list = []
 def worker_resource(key: tuple, make: Callable[[], T]) -> T:
     """What a Python worker keeps between tasks: one resource at a time, so those of earlier stages go."""
     if not _resource or _resource[0] != key:
-        _resource.clear()
-        _give_back()
+        free_worker()
         _resource[:] = key, make()
     return _resource[1]
 
 
-def _give_back() -> None:
-    """Return freed memory to the system where the C library can."""
+def free_worker() -> None:
+    """Forget the worker's resource and return freed memory to the system where the C library can."""
+    _resource.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

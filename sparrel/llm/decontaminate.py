@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrel.llm.common import broadcast_within, materialize
+from sparrel.llm.common import broadcast_within, free_worker, materialize
 from sparrel.llm.shingles import _LOWER, chunks, hash_words, mix, windows, word_hashes, word_places
 
 SPANS = (12, 8, 4, 3, 2, 1)
@@ -92,6 +92,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _document_seeds(table, spans: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         bits = table.value
         for batch in batches:
             ids, ties = batch.column(0), batch.column(1)
@@ -173,6 +174,7 @@ def _verify(table):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (doc_id, tie, item_id, n, text): a document, then its items."""
+        free_worker()
         bits, key, doc = table.value, None, None
         for batch in batches:
             out = []

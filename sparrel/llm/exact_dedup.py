@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrel.llm.common import broadcast_within, file_system, materialize, scratch_folder
+from sparrel.llm.common import broadcast_within, file_system, free_worker, materialize, scratch_folder
 
 _HEAD = struct.Struct("<QqqBI")
 _NO_ID = (1 << 63) - 1
@@ -130,6 +130,7 @@ _GROUPS = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("smalle
 
 def _fold(budget: int, spill: str, with_content: bool):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         own = f"{spill}/{uuid.uuid4().hex}"
         table = GraceTable(budget, own)
         try:

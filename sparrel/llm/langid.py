@@ -177,7 +177,7 @@ def fit(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 3, floo
 class Scorer:
     """Log chances of texts per language, with a memory of word results that is bounded in bytes."""
 
-    def __init__(self, pieces: list[str], languages: list[str], chances: np.ndarray, capacity: int = 64 << 20) -> None:
+    def __init__(self, pieces: list[str], languages: list[str], chances: np.ndarray, capacity: int = 40 << 20) -> None:
         self.lattice, self.languages, self.chances = Lattice(pieces), languages, chances
         self.capacity = capacity // (8 * len(languages) + 200)
         self._reset()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrel.llm.common import broadcast_within, materialize
+from sparrel.llm.common import broadcast_within, free_worker, materialize
 from sparrel.llm.components import components
 from sparrel.llm.shingles import Shingles, mix, shingled
 
@@ -65,6 +65,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(k: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             held: list[Shingles] = []
             first = 0
@@ -160,6 +161,7 @@ def _groups(solve: Callable[[tuple, list[tuple[int, int, Shingles]]], Iterator[t
     """Rows sorted by three key columns, then (node, block, text): each group's links. A node that comes again in a group is read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         key, rows, seen = None, [], set()
 
         def done() -> pa.RecordBatch:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrel.llm.common import broadcast_within, discard, materialize
+from sparrel.llm.common import broadcast_within, discard, free_worker, materialize
 from sparrel.llm.shingles import _ORDER, chunks, mix
 from sparrel.llm.suffix_sort import common_prefixes, suffix_array
 
@@ -89,6 +89,7 @@ def _anchors(width: int, stretch: int = _STRETCH):
     names = ["gram", "context", "doc", "tie", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             ids, ties = batch.column(0), batch.column(1)
             for first, _, data, offsets in chunks(batch.column(2)):

@@ -44,7 +44,7 @@ _KINDS = _kinds()
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Signs in those blocks that are no letters, or letters whose lower case is longer: × ÷ İ ı ŉ ſ.
 _ODD_PAIRS = np.array([int.from_bytes(c.encode(), "big") for c in "×÷İıŉſ"], np.uint16)
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -60,7 +60,7 @@ class Encoder:
     Remembers the ids of pieces within ``capacity`` bytes; a chunk may exceed them until it ends.
     """
 
-    def __init__(self, path: str, capacity: int = 96 << 20, chunk: int = _CHUNK) -> None:
+    def __init__(self, path: str, capacity: int = 48 << 20, chunk: int = _CHUNK) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.capacity, self.chunk = capacity, chunk
@@ -126,7 +126,7 @@ class Encoder:
         self.pool[first : self.used] = ids
         self.sizes[n : n + len(pieces)] = sizes
         self.starts[n : n + len(pieces)] = first + np.cumsum(sizes) - sizes
-        self.held += 4 * len(ids) + sum(map(len, pieces)) + 160 * len(pieces)
+        self.held += 4 * len(ids) + sum(map(len, pieces)) + 200 * len(pieces)
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, first places of pieces, first places of texts); bytes that belong to no piece are left out."""
