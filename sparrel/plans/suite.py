@@ -1,6 +1,7 @@
 """The query suite: sixty plans over the TPC-H-like tables and the SQL each must agree with.
 
-``PS`` is a stand-in for a part-supplier table, projected from lineitem.
+``PS`` is a stand-in for a part-supplier table, projected from lineitem. Fixed values: the shapes of
+the queries and their constants follow a published workload, adapted to these tables.
 """
 
 from __future__ import annotations
