@@ -7,9 +7,15 @@ if the record or its payload is not wanted. Members without the field are inflat
 Reader options: ``payload`` (``true`` to return payloads), ``verify`` (``true`` to compare each
 response's payload with its digest), ``partitionBytes`` (files per partition), ``where`` (JSON of
 the wanted values of record_type, record_id, target_uri, payload_digest or refers_to, tested on
-headers). Predicates come as an option, since Spark 4.1 keeps the filters that one query pushed into
-a Python source for later queries of the same frame.
+headers), ``push`` (``true`` to take equality and IN filters on those columns from the query itself).
+Spark 4.1 keeps the filters that one query pushed into a Python source for later queries of the same
+frame, which then lose rows: with ``push`` a loaded frame is good for one filter. ``where`` is not.
 Writer: one commit lists the files that make up the archive, so files of lost attempts are ignored.
+
+Defined cases: a null or empty html is an empty payload, a null url has no target header, other urls
+come back as they were, outer spaces, line breaks and angle brackets included; a null page id is
+named ``none`` and comes back null; rows that repeat an id are records of their own; an empty table
+is an archive without files; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
 from sparrel.llm.common import broadcast_within, file_system, materialize, scratch_folder
 
@@ -38,7 +44,7 @@ _GZIP = struct.Struct("<4sIBBH2sHII")
 _EXTRA = b"\x1f\x8b\x08\x04"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "_manifest.json"
-#: A member's headers are looked for in so many compressed bytes at first.
+#: A member's headers are looked for in so many compressed bytes, and plain ones, at first.
 _PEEK = 4096
 _ROLL = 128 << 20
 
@@ -77,7 +83,7 @@ def _parse(head: bytes) -> dict[str, str]:
     found = {}
     for line in lines[1:]:
         name, _, value = line.partition(":")
-        found[name.strip().lower()] = value.strip()
+        found[name.strip().lower()] = value.removeprefix(" ")
     return found
 
 
@@ -101,11 +107,16 @@ def read_members(file, size: int) -> Iterator[Record]:
         if data[:4] == _EXTRA and len(data) >= _GZIP.size and data[12:14] == b"sl":
             known = _GZIP.unpack_from(data)[7]
         inflate = zlib.decompressobj(31)
-        plain = bytearray(inflate.decompress(data))
+        plain = bytearray(inflate.decompress(data, _PEEK))
         read = len(data)
 
         def more() -> bool:
             nonlocal read
+            if inflate.eof:
+                return False
+            if held := inflate.decompress(inflate.unconsumed_tail, 1 << 18):
+                plain.extend(held)
+                return True
             if inflate.eof:
                 return False
             file.seek(at + read)
@@ -113,7 +124,7 @@ def read_members(file, size: int) -> Iterator[Record]:
             if not chunk:
                 raise ValueError("a gzip member is cut short")
             read += len(chunk)
-            plain.extend(inflate.decompress(chunk))
+            plain.extend(inflate.decompress(chunk, 1 << 18))
             return True
 
         while (end := plain.find(b"\r\n\r\n")) < 0:
@@ -175,11 +186,12 @@ class _Reader(DataSourceReader):
     @staticmethod
     def _value(headers: dict[str, str], name: str) -> str | None:
         value = headers.get(_HEADERS[name])
-        if value is None or name == "record_type":
-            return value
+        if value is None or name == "target_uri":
+            return value and _restore(value)
+        value = value.strip()
         if name == "payload_digest":
             return value.removeprefix("sha256:")
-        return _restore(value[1:-1] if value[:1] == "<" else value)
+        return value if name == "record_type" else _restore(value[1:-1] if value[:1] == "<" else value)
 
     def read(self, partition):
         fs, _ = file_system(self.uri)
@@ -223,6 +235,19 @@ class _Reader(DataSourceReader):
             step *= 4
 
 
+class _PushReader(_Reader):
+    """Takes equality and IN filters on header columns out of the query; Spark applies the others."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = f.attribute[0] if len(f.attribute) == 1 else None
+            if name in _HEADERS and isinstance(f, (EqualTo, In)):
+                wanted = f.value if isinstance(f, In) else [f.value]
+                self.tests.append((name, frozenset(v for v in wanted if v is not None)))
+            else:
+                yield f
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     names: list[str]
@@ -275,7 +300,8 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(dict(self.options))
+        options = dict(self.options)
+        return (_PushReader if options.get("push", "false").lower() == "true" else _Reader)(options)
 
     def writer(self, schema, overwrite):
         return _Writer(dict(self.options), overwrite)
@@ -314,17 +340,23 @@ def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     out.write.format("warc").mode("append").save(path)
 
 
-def read_archive(spark: SparkSession, path: str, where: dict[str, list[str]] | None = None, payload: bool = False, verify: bool = False) -> DataFrame:
-    """Records of an archive; ``where`` maps header columns to the values wanted."""
+def read_archive(spark: SparkSession, path: str, where: dict[str, list[str]] | None = None, payload: bool = False, verify: bool = False, push: bool = False) -> DataFrame:
+    """Records of an archive; ``where`` maps header columns to the values wanted; ``push`` lets one query push its filters."""
     register(spark)
-    options = {"payload": str(payload), "verify": str(verify), "where": json.dumps(where or {})}
+    if push:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"payload": str(payload), "verify": str(verify), "push": str(push), "where": json.dumps(where or {})}
     return spark.read.format("warc").options(**options).load(path)
 
 
 def pages_round_trip(pages: DataFrame) -> DataFrame:
-    """Archive pages, read them back with payloads checked: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Archive pages and read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
+
+    Two reads by record type: responses with their payloads checked, revisits from headers, past all other payloads.
+    """
     path = f"{scratch_folder(pages.sparkSession, 'warc')}"
     archive_pages(pages, path)
     number = lambda c: F.try_element_at(F.split(c, ":"), F.lit(3)).try_cast("long")
-    back = read_archive(pages.sparkSession, path, verify=True)
+    spark = pages.sparkSession
+    back = read_archive(spark, path, {"record_type": ["response"]}, verify=True).union(read_archive(spark, path, {"record_type": ["revisit"]}))
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
