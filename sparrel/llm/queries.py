@@ -33,7 +33,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_repeated_lines(docs, min_docs=10, min_chars=1, keep_first=False)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("keep_runs").cast("long").alias("n_runs"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,11 @@ ORACLE_SQL = {
         placed AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split),
         keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM placed),
         common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
-        marked AS (SELECT k.doc_id, k.line, k.pos, c.key IS NOT NULL AS dropped FROM keyed k LEFT JOIN common c ON k.key = c.key)
+        marked AS (SELECT k.doc_id, k.line, k.pos, c.key IS NOT NULL AS dropped, lag(c.key IS NOT NULL, 1, TRUE) OVER (PARTITION BY k.doc_id ORDER BY k.pos) AS after_drop
+            FROM keyed k LEFT JOIN common c ON k.key = c.key)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
-            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256,
+            count(*) FILTER (NOT dropped AND after_drop) AS n_runs
         FROM marked GROUP BY doc_id""",
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)

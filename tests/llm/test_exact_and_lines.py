@@ -1,7 +1,7 @@
 import pytest
 
 from sparrel.llm.exact_dedup import GraceTable, exact_dedup
-from sparrel.llm.line_dedup import drop_repeated_lines
+from sparrel.llm.line_dedup import drop_repeated_lines, keep_bitmaps
 
 DOCS = "doc_id long, text string, kept string, n int"
 
@@ -75,3 +75,12 @@ def test_lines_of_repeated_rows_and_empty_tables(spark):
     got = drop_repeated_lines(docs, min_docs=2, keep_first=False)
     assert sorted((r.doc_id or 0, r.kept_text) for r in got.collect()) == [(0, ""), (1, ""), (1, "b"), (1, "b")]
     assert drop_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_bitmaps_hold_runs_of_kept_lines_without_texts(spark):
+    docs = spark.createDataFrame([(1, "a\nx\ny\na\nz"), (2, "a"), (3, None), (4, "own\n\n")], "doc_id long, text string")
+    got = keep_bitmaps(docs, min_docs=2, keep_first=False)
+    assert got.columns == ["doc", "tie", "n_dropped", "keep_runs"]
+    assert sorted((r.doc, r.n_dropped, [tuple(x) for x in r.keep_runs]) for r in got.collect()) == [(1, 2, [(1, 2), (4, 1)]), (2, 1, [])]
+    whole = drop_repeated_lines(docs, min_docs=2, keep_first=False).collect()
+    assert {r.doc_id: [tuple(x) for x in r.keep_runs] for r in whole}[4] == [(0, 3)]
