@@ -34,6 +34,8 @@ _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words up to this length need no rescaling: their sums stay far above the smallest float.
 _SHORT = 40
 _SLAB = 1 << 15
+#: Words are looked up in stretches of about so many characters.
+_STRETCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _SPREAD = 0xD1342543DE82EF95
 
@@ -52,6 +54,15 @@ def marked_words(unit: str) -> list[str]:
     return [MARK + word for word in _LETTERS.findall(unit.lower())]
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A text in stretches of about ``_STRETCH`` characters that end before a space, so that no word is cut."""
+    at = 0
+    while len(text) - at > _STRETCH and (to := text.find(" ", at + _STRETCH)) >= 0:
+        yield text[at:to]
+        at = to
+    yield text[at:] if at else text
+
+
 class Lattice:
     """Piece numbers of all substrings of words, grouped by word length. Number 0 is the floor for unknown characters.
 
@@ -175,64 +186,65 @@ def fit(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 3, floo
 
 
 class Scorer:
-    """Log chances of texts per language, with a memory of word results that is bounded in bytes."""
+    """Log chances of texts per language, with a memory of word results that is bounded in bytes; a stretch of text may exceed it until it ends."""
 
     def __init__(self, pieces: list[str], languages: list[str], chances: np.ndarray, capacity: int = 40 << 20) -> None:
         self.lattice, self.languages, self.chances = Lattice(pieces), languages, chances
-        self.capacity = capacity // (8 * len(languages) + 200)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.units: dict[str, int] = {}
+        self.capacity = capacity // (16 * (len(languages) + 1) + 200)
         self.words: dict[str, int] = {}
-        self.used = 1  # row 0 is that of units without words
-        self.scores = np.zeros((1 << 10, len(self.languages) + 1))
-
-    def _rows(self, n: int) -> int:
-        while len(self.scores) < self.used + n:
+        self.scores = np.zeros((1 << 10, len(languages)))
+
+    def _keep(self, words: list[str]) -> None:
+        """Forget all words but these."""
+        rows = [self.words[w] for w in words]
+        self.words = {w: n for n, w in enumerate(words)}
+        self.scores = np.concatenate([self.scores[rows], np.zeros((1 << 10, len(self.languages)))])
+
+    def _learn(self, words: list[str]) -> None:
+        start = len(self.words)
+        self.words.update(zip(words, range(start, start + len(words)), strict=True))
+        while len(self.scores) < len(self.words):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.used += n
-        return self.used - n
-
-    def _learn(self, units: list[str]) -> None:
-        """Results of new units: log chances per language, and in the last column the number of words."""
-        found = [marked_words(unit) for unit in units]
-        new = sorted({w for words in found for w in words}.difference(self.words))
-        start = self._rows(len(new))
-        self.words.update(zip(new, range(start, start + len(new)), strict=True))
-        self.scores[start : start + len(new), -1] = 1
-        short = [n for n, w in enumerate(new) if len(w) <= _SHORT]
+        marked = [MARK + w for w in words]
+        short = [n for n, w in enumerate(marked) if len(w) <= _SHORT]
         for first in range(0, len(short), 1 << 14):
-            some = short[first : first + (1 << 14)]
-            for places, table in self.lattice.groups([new[n] for n in some]):
-                at = np.array(some)[places]
+            some = np.array(short[first : first + (1 << 14)])
+            for places, table in self.lattice.groups([marked[n] for n in some]):
+                at = start + some[places]
                 width = max(1, (1 << 15) // max(1, len(self.languages)))
                 for k in range(0, len(places), width):
-                    self.scores[start + at[k : k + width], :-1] = np.log(forward(table[k : k + width], self.chances)[:, -1])
-        for n, w in enumerate(new):
+                    self.scores[at[k : k + width]] = np.log(forward(table[k : k + width], self.chances)[:, -1])
+        for n, w in enumerate(marked):
             if len(w) > _SHORT:
-                self.scores[start + n, :-1] = long_word(w, self.lattice, self.chances)
-        for unit, words in zip(units, found, strict=True):
-            if len(words) == 1:
-                self.units[unit] = self.words[words[0]]
-            elif words:
-                row = self.units[unit] = self._rows(1)
-                self.scores[row] = self.scores[[self.words[w] for w in words]].sum(axis=0)
-            else:
-                self.units[unit] = 0
+                self.scores[start + n] = long_word(w, self.lattice, self.chances)
+
+    def _add(self, out: np.ndarray, texts: list[int], words: list[list[str]]) -> None:
+        """Add the results of words to the totals of their texts."""
+        wanted = set().union(*words)
+        new = wanted.difference(self.words)
+        if len(self.words) + len(new) > self.capacity:
+            self._keep(list(wanted.difference(new)))
+        self._learn(list(new))
+        width = max(1, (1 << 21) // (len(self.languages) + 1))
+        for n, found in zip(texts, words, strict=True):
+            rows = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+            out[n, -1] += len(found)
+            for k in range(0, len(rows), width):
+                out[n, :-1] += self.scores[rows[k : k + width]].sum(axis=0)
 
     def totals(self, texts: list[str | None]) -> np.ndarray:
-        """Sums over all words of each text, shape (text, language + 1)."""
+        """Sums over all words of each text, and in the last column their number, shape (text, language + 1)."""
         out = np.zeros((len(texts), len(self.languages) + 1))
-        split = [text.split() if text else [] for text in texts]
-        if new := set().union(*split).difference(self.units):
-            if len(self.units) + len(new) > self.capacity:
-                self._reset()
-                new = set().union(*split)
-            self._learn(list(new))
-        for n, units in enumerate(split):
-            if units:
-                out[n] = self.scores[np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))].sum(axis=0)
+        places, words, size = [], [], 0
+        for n, text in enumerate(texts):
+            for part in stretches(text or ""):
+                places.append(n)
+                words.append(_LETTERS.findall(part.lower()))
+                size += len(part)
+                if size >= _STRETCH:
+                    self._add(out, places, words)
+                    places, words, size = [], [], 0
+        self._add(out, places, words)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

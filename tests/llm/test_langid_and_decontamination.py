@@ -246,3 +246,15 @@ def test_hashes_do_not_decide():
     item.lower = item.lower.copy()
     item.lower[:] = 120
     assert decontaminate.best_overlap(doc, item, bits) is None
+
+
+def test_stretches_cut_no_word(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("aбcß", k=rng.randint(1, 9))) for _ in range(200)), "a" * 300, "", " ", "one\ntwo " * 50, None]
+    pieces, languages = ["▁a", "a", "b", "▁"], ["x", "y"]
+    scorer = langid.Scorer(pieces, languages, np.random.default_rng(1).random((5, 2)))
+    want = scorer.totals(texts)
+    monkeypatch.setattr(langid, "_STRETCH", 20)
+    for text in texts[:-1]:
+        assert "".join(langid.stretches(text)) == text
+    assert langid.Scorer(pieces, languages, scorer.chances, capacity=1000).totals(texts) == pytest.approx(want)
