@@ -103,6 +103,27 @@ def is_ordered(df: DataFrame, column: str, sequence: str, stretch: int = 1_000_0
     return parts.select((F.col("down") | across).alias("down")).agg((~F.coalesce(F.bool_or("down"), F.lit(False))).alias("is_ordered"))
 
 
+def physically_ordered(table: DataFrame, stretch: int = 1_000_000) -> list[str]:
+    """The columns of a Parquet table in which no value is below the one stored before it, by file name and row.
+
+    Stretches of each file are checked side by side, all columns in one pass; only their edges meet. Nulls are passed over.
+    """
+    names = [f.name for f in table.schema if tag_of(f.dataType)]
+    if not names:
+        return []
+    columns = range(len(names))
+    row = F.col("_metadata.row_index")
+    rows = table.select(F.col("_metadata.file_path").alias("f"), F.floor(row / stretch).alias("part"), row.alias("s"), *[F.col(f"`{c}`").alias(f"v{n}") for n, c in enumerate(names)])
+    before = Window.partitionBy("f", "part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    checked = rows.select("f", "part", "s", *[f"v{n}" for n in columns], *[(F.col(f"v{n}") < F.last(f"v{n}", True).over(before)).alias(f"d{n}") for n in columns])
+    edges = [x for n in columns for x in (F.bool_or(f"d{n}").alias(f"d{n}"), F.min_by(f"v{n}", F.when(F.col(f"v{n}").isNotNull(), F.col("s"))).alias(f"a{n}"), F.max_by(f"v{n}", F.when(F.col(f"v{n}").isNotNull(), F.col("s"))).alias(f"z{n}"))]
+    parts = checked.groupBy("f", "part").agg(*edges)
+    earlier = Window.orderBy("f", "part").rowsBetween(Window.unboundedPreceding, -1)
+    across = [F.coalesce(F.col(f"d{n}") | (F.col(f"a{n}") < F.last(f"z{n}", True).over(earlier)), F.col(f"d{n}"), F.col(f"a{n}") < F.last(f"z{n}", True).over(earlier)).alias(f"d{n}") for n in columns]
+    found = parts.select(*across).agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(f"d{n}").alias(f"d{n}") for n in columns]).first()
+    return [c for n, c in enumerate(names) if found["n"] and not found[f"d{n}"]]
+
+
 def uniform_sample(df: DataFrame, rows: int = 10_000, seed: int = 0) -> DataFrame:
     """A uniform sample of at most ``rows`` rows: the operator's feature, fixed by its seed."""
     return df.orderBy(F.rand(seed)).limit(rows)

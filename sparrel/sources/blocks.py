@@ -7,7 +7,7 @@ so a file splits at any multiple of the block size. Convert to Parquet before qu
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from itertools import islice
 
 import pandas as pd
@@ -20,18 +20,27 @@ _FORMATS = {I32: struct.Struct("<i"), I64: struct.Struct("<q"), F32: struct.Stru
 _COUNT = struct.Struct("<H")
 
 
-def decode_block(block: bytes, tags: list[str]) -> Iterator[tuple]:
+def decode_block(block: bytes, tags: list[str], wanted: Collection[int] | None = None) -> Iterator[tuple]:
+    """The rows of a block; of the columns at ``wanted`` only, if given, in stored order. Other values are skipped, and so is all behind the last wanted one of rows of fixed width."""
     (rows,) = _COUNT.unpack_from(block, len(block) - _COUNT.size)
+    keep = [wanted is None or n in wanted for n in range(len(tags))]
+    if STRING not in tags:
+        pad = [_FORMATS[tag].format[1:] if own else f"{_FORMATS[tag].size}x" for tag, own in zip(tags, keep, strict=True)]
+        row = struct.Struct("<" + "".join(pad))
+        yield from row.iter_unpack(block[: rows * row.size])
+        return
     at = 0
     for _ in range(rows):
         row = []
-        for tag in tags:
+        for tag, own in zip(tags, keep, strict=True):
             if tag == STRING:
                 end = block.index(0, at)
-                row.append(block[at:end].decode())
+                if own:
+                    row.append(block[at:end].decode())
                 at = end + 1
             else:
-                row.append(_FORMATS[tag].unpack_from(block, at)[0])
+                if own:
+                    row.append(_FORMATS[tag].unpack_from(block, at)[0])
                 at += _FORMATS[tag].size
         yield tuple(row)
 
@@ -85,19 +94,28 @@ def encode_frame(df: DataFrame, block_size: int = 4096) -> DataFrame:
     return df.mapInPandas(encode, "block binary")
 
 
-def decode_frame(blocks: DataFrame, schema: T.StructType) -> DataFrame:
-    """The rows of blocks in a binary column ``block``."""
-    tags, names = _tags(schema), schema.names
+def decode_frame(blocks: DataFrame, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
+    """The rows of blocks in a binary column ``block``; with ``columns``, only those are decoded and leave the Python worker."""
+    tags = _tags(schema)
+    if unknown := set(columns or ()) - set(schema.names):
+        raise ValueError(f"unknown columns {sorted(unknown)}")
+    wanted = [n for n, name in enumerate(schema.names) if columns is None or name in columns]
+    some = T.StructType([schema[n] for n in wanted])
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([r for b in batch["block"] for r in decode_block(bytes(b), tags)], columns=names)
+            yield pd.DataFrame([r for b in batch["block"] for r in decode_block(bytes(b), tags, wanted)], columns=some.names)
 
-    return blocks.select("block").mapInPandas(decode, schema)
+    rows = blocks.select("block").mapInPandas(decode, some)
+    return rows if columns is None else rows.select(*[f"`{c}`" for c in columns])
 
 
-def read_blocks(spark: SparkSession, path: str, schema: T.StructType, block_size: int = 4096) -> DataFrame:
-    """Rows of a block file. Fixed-length records are the one input Spark offers as an RDD only."""
+def read_blocks(spark: SparkSession, path: str, schema: T.StructType, block_size: int = 4096, columns: list[str] | None = None) -> DataFrame:
+    """Rows of a block file, or of files in a folder: each must hold whole blocks; an empty file is an empty table. Fixed-length records are the one input Spark offers as an RDD only."""
     _tags(schema)
+    if block_size <= 0:
+        raise ValueError(f"a block size of {block_size}")
+    for name, length in spark.read.format("binaryFile").load(path).filter(f"length % {block_size} <> 0").select("path", "length").head(5):
+        raise ValueError(f"{name} holds {length} bytes, not whole blocks of {block_size}")
     raw = spark.sparkContext.binaryRecords(path, block_size).map(lambda b: (bytearray(b),))
-    return decode_frame(spark.createDataFrame(raw, "block binary"), schema)
+    return decode_frame(spark.createDataFrame(raw, "block binary"), schema, columns)

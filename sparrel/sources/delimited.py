@@ -6,6 +6,9 @@ or a field that is not of its type, fails the read instead of shortening the tab
 
 from __future__ import annotations
 
+import warnings
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,10 +57,21 @@ def parse_rows(lines: DataFrame, schema: T.StructType) -> DataFrame:
     return checked.select(*columns)
 
 
-def catalog_of_folder(spark: SparkSession, folder: str, tables: list[str]) -> Catalog:
-    """A catalog of ``<table>.csv`` files, each beside its ``<table>.schema``."""
-    catalog = Catalog()
+def discover(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables in a folder, wherever Spark reads: files ``<table>.csv`` that have a ``<table>.schema``. Others get a warning."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,schema}").load(folder).select("path").collect()
+    files = {unquote(r.path.rsplit("/", 1)[1]) for r in listed}
+    tables = sorted(f.removesuffix(".csv") for f in files if f.endswith(".csv"))
     for name in tables:
+        if f"{name}.schema" not in files:
+            warnings.warn(f"{name}.csv has no schema file and is passed over", stacklevel=2)
+    return [name for name in tables if f"{name}.schema" in files]
+
+
+def catalog_of_folder(spark: SparkSession, folder: str, tables: list[str] | None = None) -> Catalog:
+    """A catalog of ``<table>.csv`` files, each beside its ``<table>.schema``; without ``tables``, of all that are found."""
+    catalog = Catalog()
+    for name in discover(spark, folder) if tables is None else tables:
         base = f"{folder.rstrip('/')}/{name}"
         catalog.register(name, read_delimited(spark, f"{base}.csv", read_schema(spark, f"{base}.schema")))
     return catalog

@@ -18,12 +18,13 @@ def test_ingest_and_suite(spark, tmp_path):
     schema = "k|v|s|\nI32|FLOAT64|STRING|\n"
     (source / "t.schema").write_text(schema)
     (source / "t.csv").write_text("1|0.5|it's \"x\"|\n2|2|é|\n")
-    catalog = ingest(spark, str(source), str(target), ["t"], sqlite=True, blocks=True)
+    catalog = ingest(spark, str(source), str(target), sqlite=True, blocks=True)
     rows = [(1, 0.5, "it's \"x\""), (2, 2.0, "é")]
     assert sorted(map(tuple, catalog.table("t").collect())) == rows
     assert sorted(sqlite3.connect(target / "tables.db").execute("SELECT * FROM t").fetchall()) == rows
     assert sorted(map(tuple, read_blocks(spark, str(target / "t.bin"), parse_schema(schema)).collect())) == rows
     assert load_schemas((target / "catalog.json").read_text())["t"].names == ["k", "v", "s"]
+    assert "IsPhysicallyOrdered" in (target / "catalog.json").read_text()
     case = Case("one", Scan("t").sort("k").project("s", "v").build().to_json(), ("it's \"x\"|0.5|", "é|2.0|"))
     save_suite(str(tmp_path / "suite.json"), [case, Case("off", case.plan, (), True, True)])
     assert load_suite(str(tmp_path / "suite.json"))[0] == case

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from sparrel import Catalog, Scan
 from sparrel.operators.io_model import Geometry, io_report, request_costs
-from sparrel.operators.stats import column_statistics, equi_depth_histogram, is_ordered, uniform_sample
+from sparrel.operators.stats import column_statistics, equi_depth_histogram, is_ordered, physically_ordered, uniform_sample
 from sparrel.runner import Case, Mismatch, run_suite
 from sparrel.sources.blocks import decode_block, encode_blocks, read_blocks
-from sparrel.sources.delimited import catalog_of_folder, parse_schema
+from sparrel.sources.delimited import catalog_of_folder, discover, parse_schema
 from sparrel.sources.metadata import dump_catalog, load_schemas, table_entry
 from sparrel.sources.row_text import format_float, protocol_lines
 
@@ -49,6 +49,38 @@ def test_blocks(spark, tmp_path):
     assert sorted(tuple(r) for r in read_blocks(spark, str(tmp_path / "t.bin"), schema, 256).collect()) == rows
     with pytest.raises(ValueError):
         list(encode_blocks([(1, 1, 0.0, 0.0, "x" * 300)], tags, 256))
+    some = read_blocks(spark, str(tmp_path / "t.bin"), schema, 256, ["s", "n"])
+    assert some.columns == ["s", "n"] and sorted(map(tuple, some.collect()), key=lambda r: r[1]) == [(r[4], r[1]) for r in rows]
+    numbers = [r[:4] for r in rows]
+    for wanted in ([0], [1, 3], [0, 1, 2, 3]):
+        got = [r for b in encode_blocks(numbers, tags[:4], 256) for r in decode_block(b, tags[:4], wanted)]
+        assert got == [tuple(r[n] for n in wanted) for r in numbers]
+    with pytest.raises(ValueError, match="unknown columns"):
+        read_blocks(spark, str(tmp_path / "t.bin"), schema, 256, ["q"])
+    (tmp_path / "bad.bin").write_bytes(b"x" * 300)
+    with pytest.raises(ValueError, match="whole blocks"):
+        read_blocks(spark, str(tmp_path / "bad.bin"), schema, 256)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    assert read_blocks(spark, str(tmp_path / "empty.bin"), schema, 256).count() == 0
+
+
+def test_discovery(spark, tmp_path):
+    base = folder(tmp_path, "1|2|0.5|1|a\n")
+    (tmp_path / "lost.csv").write_text("1\n")
+    (tmp_path / "other.txt").write_text("1\n")
+    with pytest.warns(UserWarning, match="lost.csv"):
+        assert discover(spark, base) == ["t"]
+    with pytest.warns(UserWarning, match="lost.csv"):
+        assert catalog_of_folder(spark, base).names() == ["t"]
+
+
+def test_physical_order(spark, tmp_path):
+    down = F.when(F.col("id") == 700, -1).otherwise(F.col("id"))
+    holes = F.when(F.col("id") % 3 > 0, F.col("id"))
+    df = spark.range(0, 1000, 1, 3).select("id", (-F.col("id")).alias("minus"), down.alias("d"), holes.alias("h"), F.lit("x").alias("s"), F.lit(None).cast("int").alias("none"))
+    df.write.parquet(str(tmp_path / "t"))
+    for stretch in (7, 10**6):
+        assert physically_ordered(spark.read.parquet(str(tmp_path / "t")), stretch) == ["id", "h", "s", "none"]
 
 
 @pytest.mark.parametrize(("x", "text"), [(1.0, "1.0"), (0.1, "0.1"), (1e10, "10000000000.0"), (1e-5, "0.00001"), (-0.0, "-0.0"), (float("nan"), "NaN.0"), (float("inf"), "inf.0"), (1e22, "10000000000000000000000.0")])
@@ -84,6 +116,12 @@ def test_statistics(spark):
     assert is_ordered(df, "id", "id", 64).first()[0] and not is_ordered(df, "k", "id", 64).first()[0]
     assert uniform_sample(df, 10).count() == 10
     entry = json.loads(dump_catalog([table_entry("t", df)]))
+    points = entry["table_specs"][0]["column_specs"][0]["stats"][-1]["HistogramStat"]["frequency_points"]
+    assert points[1] == [{"lower_bound": {"Int64": 100}, "upper_bound": {"Int64": 199}}, 100] and len(points) == 10
+    assert "HistogramStat" in entry["table_specs"][0]["column_specs"][2]["stats"][-1]
+    many = df.select(F.col("id").cast("string").alias("s"))
+    assert [list(s)[0] for s in table_entry("t", many, ordered=["q"])["column_specs"][0]["stats"]] == ["CardinalityStat", "DensityStat"]
+    assert table_entry("t", df, ordered=["id"])["column_specs"][0]["stats"][0] == "IsPhysicallyOrdered"
     assert entry["table_specs"][0]["column_specs"][1]["stats"][0] == {"RangeStat": {"lower_bound": {"Int32": 0}, "upper_bound": {"Int32": 6}}}
     assert load_schemas(json.dumps(entry))["t"].names == ["id", "k", "s"]
 
