@@ -228,10 +228,11 @@ def text_tie(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def near_duplicates(docs: DataFrame, k: int, share: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", block: int = 400_000, block_docs: int = 1500, star_docs: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int, share: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", block: int = 400_000, block_docs: int = 1500, star_docs: int = 100, spread: int = 8) -> DataFrame:
     """(doc_id, tie, n_shingles, component_id) per row; ``tie`` is that of the row's text. ``share``: the least Jaccard similarity as (numerator, denominator).
 
     ``block``, ``block_docs``: the most shingles and documents of a block on average; a task holds two blocks.
+    ``spread``: a cluster of over ``star_docs`` documents is cut into this many blocks at least, none under ``star_docs``, so that several tasks share it.
     ``star_docs``: the most documents that are compared with a star's centre in one group, on average.
     """
     bands, rows = _shape(share)
@@ -257,7 +258,8 @@ def near_duplicates(docs: DataFrame, k: int, share: tuple[int, int], id_col: str
     entries = materialize(buckets.join(hubs, "key").filter("node <> hub").select("key", "hub", "hub_n", "node", "n"), "stars")
     large_enough = F.least("n", "hub_n") * whole >= F.greatest("n", "hub_n") * part
     edges = materialize(entries.filter(large_enough).groupBy("hub", "node").agg(F.max("n").alias("n")), "star-edges")
-    few = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count(F.lit(1)) / block_docs)).cast("int")
+    shared = F.least(F.lit(spread), F.ceil(F.count(F.lit(1)) / star_docs))
+    few = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count(F.lit(1)) / block_docs), shared).cast("int")
     groups = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count(F.lit(1)) / star_docs)).cast("int")
     sizes = broadcast_within(materialize(edges.groupBy("hub").agg(groups.alias("groups")), "star-sizes"))
     dealt = edges.join(sizes, "hub").select(F.col("hub").alias("x"), F.pmod(F.xxhash64("node"), "groups").cast("int").alias("y"), "node")
