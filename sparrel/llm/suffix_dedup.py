@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrel.llm.common import broadcast_within, discard, free_worker, materialize
+from sparrel.llm.common import broadcast_within, discard, free_worker, materialize, partitions
 from sparrel.llm.shingles import _ORDER, chunks, mix
 from sparrel.llm.suffix_sort import common_prefixes, suffix_array
 
@@ -235,7 +235,13 @@ def repeated_spans(docs: DataFrame, width: int, bucket: int) -> DataFrame:
     contexts = some.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tie", "span")).alias("one"))
     contexts = materialize(contexts, "contexts")
     low = F.shiftright("span", 32)
-    whole = some.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"]).select("doc", "tie", low.alias("start"), (low + F.col("span").bitwiseAND(0xFFFF) + width).alias("stop"))
+    # A context of over a quarter of an even task's rows would fill one: there are at most four times as many of those as partitions, so they are broadcast.
+    even = (contexts.agg(F.sum("n")).first()[0] or 0) // (4 * partitions(docs.sparkSession))
+    large = contexts.filter((F.col("n") > 1) & (F.col("n") > even)).select("gram", "context", F.lit(True).alias("large"))
+    others = contexts.filter((F.col("n") > 1) & (F.col("n") <= even)).select("gram", "context")
+    marked = some.join(F.broadcast(large), ["gram", "context"], "left")
+    equal = marked.filter("large").drop("large").unionByName(marked.filter("large IS NULL").drop("large").join(others, ["gram", "context"]))
+    whole = equal.select("doc", "tie", low.alias("start"), (low + F.col("span").bitwiseAND(0xFFFF) + width).alias("stop"))
     mixed = materialize(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 AND least = 1").select("gram"), "mixed-grams")
     members = contexts.join(mixed, "gram").select("one.*").groupBy("doc", "tie").agg(F.collect_list("span").alias("spans"))
     members = materialize(members, "members")
